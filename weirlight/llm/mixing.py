@@ -64,7 +64,7 @@ def mix_documents(
     weights=WEIGHTS,
     share: float = 1.5,
     cap: int = 2,
-    rows_per_bucket: int = 20_000,
+    rows_per_bucket: int = 1_000,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, source, size, source_size, target, taken, *keep) for each row of docs.
@@ -86,7 +86,8 @@ def mix_documents(
 
     # Keys are uniform: the first 32 bits times the number of buckets is an even deal.
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    bucket = F.floor(place * F.ceil(F.col("n") / F.lit(rows_per_bucket))).cast("long")
+    # About as many buckets as rows in each, so neither the sort nor the sums over buckets grow large.
+    bucket = F.floor(place * F.ceil(F.col("n") / F.greatest(F.lit(float(rows_per_bucket)), F.sqrt("n")))).cast("long")
     source = ["no_source", "src"]
     dealt = sized.join(targets, source).withColumn("bucket", bucket)
     totals = dealt.groupBy(*source, "bucket").agg(F.sum("size").alias("in_bucket"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, mixing, url_filters
+from . import chat_format, fingerprints, language_id, mixing, quality, toxicity, url_filters
+from ._labels import fold
 from ._shared import documents
 
 RULES = [
@@ -17,6 +18,30 @@ RULES = [
 ]
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs, 3, 1))
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "language.*")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = quality.score_documents(docs, quality.fit(docs, labels(spark, sf_dir), 3, 1), out="q")
+    score = F.col("q.score")
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "q.quality", "q.lines", "q.bad_lines")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = toxicity.score_documents(docs, toxicity.fit(docs, labels(spark, sf_dir), 5, 0), out="t")
+    score = F.col("t.score")
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "t.hits")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.swapped_answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return chat_format.format_preferences(turns)
@@ -51,7 +76,10 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rul
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op2_chat_formatting": op2_chat_formatting,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_toxicity": op4_toxicity,
         "op5_url_filters": op5_url_filters,
         "op8_mixing": op8_mixing,
         "op10_fingerprints": op10_fingerprints,
