@@ -2,8 +2,8 @@
 
 A text's shingles of ``n`` words are hashed once. The top bits of a hash name its bin, and a bin keeps
 its least hash. An empty bin takes over the hash of a filled bin that is drawn by a hash of the pair
-(empty bin, filled bin): the first filled one in that bin's own random order of bins, which is optimal
-densification. The low ``BITS`` bits of each bin make one hex digit of the fingerprint. Two bins agree
+(empty bin, try) until it is filled, which is optimal densification; after ``PROBES`` tries, the filled
+bin of least hash with the empty one is taken, which has the same distribution. The low ``BITS`` bits of each bin make one hex digit of the fingerprint. Two bins agree
 by chance with probability 2**-BITS, which the estimate of likeness takes out.
 
 Cases: null counts as the empty text. Texts of fewer than ``n`` words have one shingle, all their words.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ._shared import let, with_next, words_of
 
 BINS, BITS, NO_WORDS = 256, 4, "-"
+#: Draws by hash for an empty bin before every filled bin is weighed.
+PROBES = 16
 
 
 def shingle_hashes(words: Column, n: int = 5) -> Column:
@@ -39,17 +41,24 @@ def fingerprint(text: Column, n: int = 5) -> Column:
     bin_of = lambda h: F.shiftright(h, shift) + BINS // 2
     digits = F.lit(list("0123456789abcdef"))
 
+    bins = F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint"))
+
     def codes(least: Column) -> Column:
-        def digit(bins: Column) -> Column:
-            def at(b: Column) -> Column:
-                own = F.array_position(bins, b).cast("int")
-                drawn = F.array_min(F.transform(least, lambda h: F.struct(F.xxhash64(b, bin_of(h)).alias("draw"), h.alias("h"))))["h"]
-                value = F.when(own > 0, F.get(least, own - 1)).otherwise(drawn)
-                return F.get(digits, value.bitwiseAND(F.lit(2**BITS - 1)).cast("int"))
+        own = F.map_from_arrays(F.transform(least, bin_of), least)
+
+        def digits_of(filled: Column) -> Column:
+            def drawn(b: Column) -> Column:
+                # A few draws by hash find a filled bin where many are; where few are, each gets a draw and the least wins.
+                tries = [F.get(filled, F.pmod(F.xxhash64(b, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(PROBES)]
+                lots = F.transform(least, lambda h: F.struct(F.xxhash64(b, bin_of(h)).alias("draw"), h.alias("h")))
+                return F.coalesce(*tries, F.array_min(lots)["h"])
+
+            def digit(h: Column, b: Column) -> Column:
+                return F.get(digits, F.coalesce(h, drawn(b)).bitwiseAND(F.lit(2**BITS - 1)).cast("int"))
 
-            return F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint")), at), "")
+            return F.array_join(F.transform(filled, digit), "")
 
-        return let(F.transform(least, bin_of), digit)
+        return let(let(own, lambda m: F.transform(bins, lambda b: F.try_element_at(m, b))), digits_of)
 
     def least_of(ordered: Column) -> Column:
         first = F.filter(ordered, lambda h, i: (i == 0) | (F.shiftright(h, shift) != F.shiftright(F.get(ordered, i - 1), shift)))

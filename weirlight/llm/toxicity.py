@@ -15,6 +15,7 @@ is 0. Labels of null ids or null values are not used.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -97,7 +98,10 @@ class Lexicon:
 
 
 def raw_sums(text: str | None, automaton) -> tuple[float, int, int]:
-    """(sum of weights, hits, words). At each place the longest entry counts, and none inside an exception."""
+    """(sum of weights, hits, words). At each place the longest entry counts, and none inside an exception.
+
+    A form that comes n times counts 1 + log n times, so that mere repetition does not make a text toxic.
+    """
     folded = fold(text)
     words = folded.count(" ") - 1
     if automaton is None or words < 1:
@@ -112,7 +116,8 @@ def raw_sums(text: str | None, automaton) -> tuple[float, int, int]:
             hits[start] = (length, weight)
     if excused:
         hits = {s: h for s, h in hits.items() if not any(a <= s and s + h[0] - 1 <= b for a, b in excused)} if len(excused) < 50 else _outside(hits, excused)
-    return sum(w for _, w in hits.values()), len(hits), words
+    forms = Counter((folded[s : folded.index(" ", s + 1)], w) for s, (_, w) in hits.items())
+    return sum(w * (1 + math.log(n)) for (_, w), n in forms.items()), len(hits), words
 
 
 def _outside(hits, excused):
