@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, language_id, mixing, quality, toxicity, url_filters
+from . import chat_format, fingerprints, language_id, mixing, quality, token_store, toxicity, url_filters
 from ._labels import fold
 from ._shared import documents
 
@@ -52,6 +52,16 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_store(token_store.write_store(documents(spark, sf_dir), tokenizer_path()))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -81,6 +91,7 @@ def queries() -> dict:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_toxicity": op4_toxicity,
         "op5_url_filters": op5_url_filters,
+        "op6_token_store": op6_token_store,
         "op8_mixing": op8_mixing,
         "op10_fingerprints": op10_fingerprints,
     }
