@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, language_id, mixing, quality, token_store, toxicity, url_filters
+from . import chat_format, fingerprints, jaccard_join, language_id, mixing, quality, token_store, toxicity, url_filters
 from ._labels import fold
 from ._shared import documents
 
@@ -62,6 +62,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(token_store.write_store(documents(spark, sf_dir), tokenizer_path()))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -92,10 +96,11 @@ def queries() -> dict:
         "op4_toxicity": op4_toxicity,
         "op5_url_filters": op5_url_filters,
         "op6_token_store": op6_token_store,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_mixing": op8_mixing,
         "op10_fingerprints": op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat_format.ORACLE_SQL, "op5_url_filters": OP5_SQL, "op8_mixing": mixing.ORACLE_SQL}
+    return {"op2_chat_formatting": chat_format.ORACLE_SQL, "op5_url_filters": OP5_SQL, "op7_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
