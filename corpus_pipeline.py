@@ -1,13 +1,65 @@
-"""A training-data pipeline of the text operators, stage by stage over the documents."""
+"""A training-data pipeline of the text operators, stage by stage over the documents.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Null and empty texts go in the first stage, as bad documents. Rows that repeat are near
+duplicates of each other. Empty tables pass through all stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weirlight.llm import decontaminate, jaccard_join, mixing, quality, token_store
+from weirlight.llm._shared import materialise
+from weirlight.llm.queries import tokenizer_path
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), 3, 1)
+    return quality.score_documents(docs, model, out="__quality").where(F.col("__quality.score") >= 0.5).drop("__quality")
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document by id of each near-duplicate class."""
+    classes = jaccard_join.jaccard_classes(docs, keep=tuple(docs.columns))
+    return classes.where("first_of_class").select(*docs.columns)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="__hits")
+    return found.where(F.size("__hits") == 0).drop("__hits")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; the one at a source's cut comes whole."""
+    taken = mixing.mix_documents(docs, keep=tuple(docs.columns))
+    times = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    again = taken.where("taken > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), times)))
+    return again.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token store of the mix, read back."""
+    return token_store.read_store(token_store.write_store(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", no_near_copies),
+    ("benchmark decontamination", no_benchmark),
+    ("mixing sources to target weights", mixed),
+    ("token-ID / binary output", token_ids),
+]
+
+#: The tokenizer and the classifier are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

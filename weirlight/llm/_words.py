@@ -57,6 +57,7 @@ def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def _pieces(points: np.ndarray, space: np.ndarray):
+    """Bounds of pieces of long texts, cut at spaces where there is one."""
     at = 0
     while len(points) - at > 2 * PIECE:
         cut = np.flatnonzero(space[at + PIECE :])
@@ -68,14 +69,22 @@ def _pieces(points: np.ndarray, space: np.ndarray):
     yield at, len(points)
 
 
+def run_hashes(points: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the maximal runs of code points that are inside, in order."""
+    hashes, begins = [], []
+    for a, b in _pieces(points, ~inside):
+        starts, ends = spans(inside[a:b])
+        hashes.append(span_hashes(points[a:b], starts, ends))
+        begins.append(starts + a)
+    return (hashes[0], begins[0]) if len(hashes) == 1 else (np.concatenate(hashes), np.concatenate(begins))
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the runs without white space, in order; null has none."""
     if not text:
         return np.zeros(0, _U)
     points = code_points(text)
-    space = is_space(points)
-    found = [span_hashes(points[a:b], *spans(~space[a:b])) for a, b in _pieces(points, space)]
-    return found[0] if len(found) == 1 else np.concatenate(found)
+    return run_hashes(points, ~is_space(points))[0]
 
 
 def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:

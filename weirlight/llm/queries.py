@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, jaccard_join, language_id, mixing, quality, token_store, toxicity, url_filters
+from . import chat_format, decontaminate, fingerprints, jaccard_join, language_id, mixing, quality, token_store, toxicity, url_filters
 from ._labels import fold
 from ._shared import documents
 
@@ -70,6 +70,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each contaminated document and item that it holds."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
@@ -98,6 +105,7 @@ def queries() -> dict:
         "op6_token_store": op6_token_store,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_mixing": op8_mixing,
+        "op9_decontamination": op9_decontamination,
         "op10_fingerprints": op10_fingerprints,
     }
 
