@@ -70,7 +70,7 @@ def _rank(sorted_values: list[int], value: Column, strict: bool) -> Column:
     return F.when(head == 0, F.lit(0)).otherwise((head - 1) * step + fine)
 
 
-def range_buckets(df: DataFrame, key: str, tie: Column, rows_per_bucket: int = 10_000) -> Column:
+def range_buckets(df: DataFrame, key: str, tie: Column, rows_per_bucket: int = 4_000) -> Column:
     """A bucket number that rises with (key, tie); null keys are in bucket -1.
 
     Bounds are percentiles of the long column ``key`` (one row of at most 40,000 numbers comes to
@@ -92,7 +92,7 @@ def range_buckets(df: DataFrame, key: str, tie: Column, rows_per_bucket: int = 1
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(split if high is not low else low)
 
 
-def with_next(df: DataFrame, key: str, tie: str, columns: list[str], rows_per_bucket: int = 10_000) -> DataFrame:
+def with_next(df: DataFrame, key: str, tie: str, columns: list[str], rows_per_bucket: int = 4_000) -> DataFrame:
     """Add ``next_<column>``: the values of the row that follows in descending (key, tie), in a ring.
 
     Rows are dealt to range buckets and sorted there. The first row of each bucket is copied into

@@ -7,7 +7,7 @@ id comes before a place (rank) and where its k-th one is (select), each in one s
 
 The file format is a Parquet table with one row per shard: its range in the order of documents, the
 documents' ids and lengths, and ``planes``, the record that ``pack`` writes: ``WMX1``, the number of
-ids, of planes, the zeros of each plane, and the planes' bits, packed and compressed by zlib. Parquet
+ids, of planes, the zeros of each plane, and the planes' bits, packed and compressed by zstandard. Parquet
 is the container because Spark's writers commit files whole, retry on other machines after a loss,
 and reach any store that the cluster can; ``unpack`` reads a record by itself.
 
@@ -18,23 +18,26 @@ makes an empty store.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._shared import materialise, range_buckets, small_batches
+from ._words import code_points
 
 MAGIC = b"WMX1"
 _PIECE = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?=\s|$)")
-_TAIL = re.compile(r"^(.*[^\W_])([.,!?%&*#$;:]+)$", re.S)
 
 
 @dataclass
@@ -122,7 +125,7 @@ class WaveletMatrix:
 
 def pack(matrix: WaveletMatrix) -> bytes:
     head = MAGIC + struct.pack("<QI", matrix.n, len(matrix.planes)) + struct.pack(f"<{len(matrix.zeros)}Q", *matrix.zeros)
-    return head + zlib.compress(b"".join(np.packbits(p).tobytes() for p in matrix.planes), 1)
+    return head + zstandard.ZstdCompressor(level=1).compress(b"".join(np.packbits(p).tobytes() for p in matrix.planes))
 
 
 def unpack(record: bytes) -> WaveletMatrix:
@@ -130,21 +133,44 @@ def unpack(record: bytes) -> WaveletMatrix:
         raise ValueError("not a wavelet matrix record")
     n, bits = struct.unpack_from("<QI", record, 4)
     zeros = list(struct.unpack_from(f"<{bits}Q", record, 16))
-    packed = np.frombuffer(zlib.decompress(record[16 + 8 * bits :]), np.uint8)
+    packed = np.frombuffer(zstandard.ZstdDecompressor().decompress(record[16 + 8 * bits :]), np.uint8)
     width = (n + 7) // 8
     planes = [np.unpackbits(packed[k * width : (k + 1) * width], count=n).view(bool) for k in range(bits)]
     return WaveletMatrix(planes, zeros, n)
 
 
+#: Kinds of code points for the cutting of texts: letters and numbers, space, newline, other white space, signs.
+_WORD, _SPACE, _LINE, _WHITE, _SIGN = range(5)
+_KIND = np.full((1 << 16) + 1, _SIGN, np.uint8)
+for _i in range(1 << 16):
+    _KIND[_i] = _WORD if unicodedata.category(chr(_i))[0] in "LN" else _WHITE if chr(_i).isspace() else _SIGN
+_KIND[32], _KIND[10], _KIND[1] = _SPACE, _LINE, _WHITE
+#: Pairs of kinds that keep a text from being cut at signs and lines as well as at spaces.
+_ODD = np.zeros((5, 5), bool)
+_ODD[_SPACE : _WHITE + 1, _SPACE : _WHITE + 1] = True
+_ODD[_SIGN, _SIGN] = _ODD[_SPACE, _SIGN] = True
+_ODD[_WHITE] = _ODD[:, _WHITE] = True
+_ODD = _ODD.ravel()
+#: Starts a piece that has no space before it.
+_BARE = "\x01"
+
+
+def plain(text: str) -> bool:
+    """Whether white space and signs stand alone in a text, so that each comma, full stop and newline is a token's start."""
+    kinds = _KIND[np.minimum(code_points(text), 1 << 16)]
+    return kinds[0] in (_WORD, _SIGN) and kinds[-1] in (_WORD, _SIGN) and not _ODD[kinds[:-1] * 5 + kinds[1:]].any()
+
+
 class Encoder:
     """A tokenizers file, with the ids of pieces kept between calls.
 
     The tokenizer is byte-level BPE: it cuts texts at every space that another character than white
-    space follows, and encodes what lies between on its own. So a piece is encoded once by the
-    library and then looked up. Texts that hold one of its special tokens are encoded whole.
+    space follows, and at signs between a word and a space, and encodes what lies between on its own.
+    So a piece is encoded once by the library and then looked up. Texts that hold one of its special
+    tokens are encoded whole.
     """
 
-    MOST = 400_000
+    MOST = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -152,40 +178,46 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.leads = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.kept: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Pieces that aren't kept yet; punctuation after a word is encoded apart from it."""
-        tails = {p: m.groups() for p in new if (m := _TAIL.match(p)) and "'" not in p}
-        stems = list(dict.fromkeys([p for p in new if p not in tails] + [s for s, _ in tails.values() if s not in self.kept]))
-        self.kept.update(zip(stems, self._ids([f" {s}" for s in stems]), strict=True))
-        ends = list(dict.fromkeys(t for _, t in tails.values()))
-        found = dict(zip(ends, self._ids(ends), strict=True))
-        for piece, (stem, tail) in tails.items():
-            self.kept[piece] = self.kept[stem] + found[tail]
+        """Encode pieces that aren't kept yet: words with a space before them many at a time, cut where a token has that space."""
+        words = [p for p in new if p.isprintable() and " " not in p]
+        bare = [p for p in new if not p.isprintable() or " " in p]
+        self.kept.update(zip(bare, self._ids([p[1:] if p.startswith(_BARE) else f" {p}" for p in bare]), strict=True))
+        width = self.dtype().itemsize
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            starts = (np.flatnonzero(self.leads[ids]) * width).tolist()
+            data = ids.tobytes()
+            self.kept.update(zip(part, [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of dtype."""
         if len(self.kept) > self.MOST:
-            self.kept.clear()
-        split, firsts = [], []
+            # The pieces that were kept first are the most frequent ones.
+            self.kept = dict(itertools.islice(self.kept.items(), self.MOST // 2))
+        split: list[list[str] | None] = []
         for text in texts:
-            if any(s in text for s in self.special):
+            if not text or _BARE in text or any(s in text for s in self.special):
                 split.append(None)
-                firsts.append(text)
-                continue
-            pieces = _PIECE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-            firsts.append(pieces[0])
-            split.append(pieces[1:])
-        new = set().union(*(p for p in split if p)) - self.kept.keys()
+            elif plain(text):
+                cut = text.replace(",", f" {_BARE},").replace(".", f" {_BARE}.").replace("\n", f" {_BARE}\n {_BARE}")
+                split.append((_BARE + cut).split(" "))
+            else:
+                split.append(_PIECE.split(_BARE + text) if _ODD_SPACE.search(text) else (_BARE + text).split(" "))
+        new = set().union(*filter(None, split)) - self.kept.keys()
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
+        whole = iter(self._ids([t for t, p in zip(texts, split, strict=True) if p is None]))
         kept = self.kept.__getitem__
-        starts = self._ids(firsts)
-        return [a if p is None else b"".join((a, *map(kept, p))) for a, p in zip(starts, split, strict=True)]
+        return [next(whole) if p is None else b"".join(map(kept, p)) for p in split]
 
 
 _encoders: dict[str, Encoder] = {}
