@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from ._labels import sample, sigmoid_fit
 from ._shared import small_batches
+from ._words import code_points
 
 #: Look-alike letters, each pair the letter and the Latin one it passes for (fixed values).
 HOMOGLYPHS = dict(
@@ -40,32 +41,58 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Invisible code points that split words.
 INVISIBLE = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 
-_TO_LATIN = str.maketrans(HOMOGLYPHS)
-_PLAIN = re.compile(r"[a-z\s.,;:?'\"()\-]*")
-_LEET = re.compile(r"[^\W_]*[0134578@$!+€]+[^\W\d_][\w@$!+€]*|[^\W\d_]+[0134578@$!+€]+[^\W\d_][\w@$!+€]*|[^\W\d_]{2,}[013457]+(?!\w)")
+_TOP = 0x20000
+
+
+def _folded_points() -> np.ndarray:
+    """What each code point is folded to: a letter or digit, 32 for what separates words, 0 for what is left out."""
+    table = np.full(_TOP + 1, 32, np.uint32)
+    for i in range(_TOP):
+        c = chr(i)
+        if i in INVISIBLE or unicodedata.combining(c):
+            table[i] = 0
+        elif c.isalnum():
+            low = unicodedata.normalize("NFKD", c.lower())[0]
+            low = HOMOGLYPHS.get(low, low).lower()
+            table[i] = ord(low[0]) if ord(low[0]) < 1 << 16 else 0xFFFD
+    return table
+
+
+_FOLDED: list[np.ndarray] = []
 _SUB = str.maketrans(SUBSTITUTES)
+_LEET = re.compile("[" + re.escape("".join(SUBSTITUTES)) + "]+")
 _SPELLED = re.compile(r"(?<!\w)\w(?:[.\-_*·]\w){2,}(?!\w)")
+_SPELLED_PART = re.compile(r"[.\-_*·]\w[.\-_*·]")
 _SIGNS = re.compile(r"[.\-_*·]")
-_NO_WORD = re.compile(r"[\W_]+")
-_MARKS = re.compile(r"[\u0300-\u036f]+")
 
 
-def _leet(m: re.Match) -> str:
-    word = m.group()
-    body = word.rstrip("@$!+€")
-    return body.translate(_SUB) + " " if any(c.isalpha() for c in body) else word
+def _spell_out(text: str) -> str:
+    """text with digits and signs that stand in a word, or digits at an end of one, as the letters they stand for."""
+    out, last, n = [], 0, len(text)
+    for m in _LEET.finditer(text):
+        a, b = m.span()
+        before, after = a > 0 and text[a - 1].isalpha(), b < n and text[b].isalpha()
+        if before and after or after and not (a and text[a - 1].isalnum()) or before and a > 1 and text[a - 2].isalpha() and m.group().isdigit():
+            out += text[last:a], m.group().translate(_SUB)
+            last = b
+    return "".join((*out, text[last:])) if out else text
 
 
 def fold(text: str | None) -> str:
     """The text's words in folded form, with one space before, between and after them."""
-    s = (text or "").lower()
-    if not s.isascii():
-        s = _MARKS.sub("", unicodedata.normalize("NFKD", s.translate(INVISIBLE)))
-        if not s.isascii():
-            s = s.translate(_TO_LATIN)
-    s = _LEET.sub(_leet, s)
-    s = _SPELLED.sub(lambda m: _SIGNS.sub("", m.group()), s)
-    return f" {_NO_WORD.sub(' ', s).strip()} "
+    if not text:
+        return "  "
+    if not _FOLDED:
+        _FOLDED.append(_folded_points())
+    text = _spell_out(text)
+    if _SPELLED_PART.search(text):
+        text = _SPELLED.sub(lambda m: _SIGNS.sub("", m.group()), text)
+    points = _FOLDED[0][np.minimum(code_points(f" {text} "), _TOP)]
+    points = points[points != 0]
+    space = points == 32
+    space[1:] &= space[:-1]
+    space[0] = False
+    return points[~space].astype(np.uint16).tobytes().decode("utf-16-le", "replace") if len(points) > 1 else "  "
 
 
 @dataclass
@@ -137,10 +164,10 @@ def features(sums: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.c_[np.log1p(sums), np.log1p(1000 * sums / np.maximum(words, 20))]
 
 
-def _entries(folded: str, shortest: int, longest: int) -> set[str]:
-    """Whole words (with a space after) and beginnings of words of a folded text."""
+def _entries(words, shortest: int, longest: int) -> set[str]:
+    """Whole words (with a space after) and beginnings of words."""
     found = set()
-    for w in set(folded.split()):
+    for w in words:
         found.add(w + " ")
         found.update(w[:k] for k in range(shortest, min(len(w), longest) + 1))
     return found
@@ -163,27 +190,53 @@ def _surprise(a: int, n: int, b: int, m: int) -> float:
     return 2 * float(part(a, n, both) + part(b, m, both))
 
 
-def learn(bad: list[str], good: list[str], min_docs: int, precision: float, surprise: float, shortest: int, longest: int, phrases: tuple[str, ...]) -> Lexicon:
-    """The lexicon of folded toxic and clean texts, without a curve."""
-    in_bad: Counter = Counter()
-    for text in bad:
-        in_bad.update(_entries(text, shortest, longest))
-    in_bad = Counter({e: n for e, n in in_bad.items() if n >= min_docs})
-    in_good: Counter = Counter()
-    for text in good:
-        in_good.update(e for e in _entries(text, shortest, longest) if e in in_bad)
-    weights: dict[str, float] = {}
-    for e in sorted(in_bad, key=lambda e: (len(e.strip()), e)):
-        a, b = in_bad[e], in_good[e]
-        rate_bad, rate_good = (a + 0.1) / len(bad), (b + 0.5) / len(good)
-        covered = any(e[:j] in weights for j in range(shortest, len(e)))
-        if not covered and rate_bad / (rate_bad + rate_good) >= precision and _surprise(a, len(bad), b, len(good)) >= surprise:
-            weights[e] = float(np.log(rate_bad / rate_good))
-    excused: set[str] = set()
-    for text in good:
-        excused |= {w for w in set(text.split()) for j in range(shortest, min(len(w), longest) + 1) if w[:j] in weights}
-    given = {fold(p).strip() for p in phrases} - {""}
-    return Lexicon(weights, sorted({w for w in excused if w + " " not in in_bad} | given))
+class Evidence:
+    """Which entries occur in which folded texts; only entries of min_docs toxic texts or more are told apart."""
+
+    def __init__(self, texts: list[str], y: np.ndarray, min_docs: int, shortest: int, longest: int):
+        self.y, self.min_docs, self.shortest = y, min_docs, shortest
+        words = [set(t.split()) for t in texts]
+        count: Counter = Counter()
+        for w, bad in zip(words, y, strict=True):
+            if bad:
+                count.update(_entries(w, shortest, longest))
+        self.entries = sorted((e for e, n in count.items() if n >= min_docs), key=lambda e: (len(e.strip()), e))
+        number = {e: i for i, e in enumerate(self.entries)}
+        ids: dict[str, list[int]] = {}
+        rows, found = [], []
+        self.clean_words: dict[int, list[str]] = {}
+        for r, (own, bad) in enumerate(zip(words, y, strict=True)):
+            mine: set[int] = set()
+            for w in own:
+                if w not in ids:
+                    ids[w] = [number[e] for e in _entries((w,), shortest, longest) if e in number]
+                mine.update(ids[w])
+            rows.append(np.full(len(mine), r))
+            found.append(np.fromiter(mine, np.int64, len(mine)))
+        for w in {w for own, bad in zip(words, y, strict=True) if not bad for w in own}:
+            if f"{w} " not in number:
+                for i in ids[w]:
+                    self.clean_words.setdefault(i, []).append(w)
+        self.rows, self.found = np.concatenate(rows), np.concatenate(found)
+
+    def learn(self, on: np.ndarray, precision: float, surprise: float, phrases: tuple[str, ...]) -> Lexicon:
+        """The lexicon of the texts that are on, without a curve."""
+        n, m = int((self.y[on] > 0).sum()), int((self.y[on] == 0).sum())
+        used = on[self.rows]
+        bad = self.y[self.rows] > 0
+        a = np.bincount(self.found[used & bad], minlength=len(self.entries))
+        b = np.bincount(self.found[used & ~bad], minlength=len(self.entries))
+        rate_bad, rate_good = (a + 0.1) / n, (b + 0.5) / m
+        good = (a >= self.min_docs) & (rate_bad / (rate_bad + rate_good) >= precision)
+        weights: dict[str, float] = {}
+        excused: set[str] = set()
+        for i in np.flatnonzero(good):
+            e = self.entries[i]
+            covered = any(e[:j] in weights for j in range(self.shortest, len(e)))
+            if not covered and _surprise(int(a[i]), n, int(b[i]), m) >= surprise:
+                weights[e] = float(np.log(rate_bad[i] / rate_good[i]))
+                excused.update(self.clean_words.get(i, ()))
+        return Lexicon(weights, sorted(excused | {fold(p).strip() for p in phrases} - {""}))
 
 
 def fit(
@@ -191,8 +244,8 @@ def fit(
     labels: DataFrame,
     k: int = 5,
     left_out: int = 0,
-    most_toxic: int = 4000,
-    most_clean: int = 12_000,
+    most_toxic: int = 3000,
+    most_clean: int = 9000,
     min_docs: int = 4,
     precision: float = 0.9,
     surprise: float = 20.0,
@@ -214,8 +267,8 @@ def fit(
     texts, y = [r["folded"] for r in rows], np.array([float(r["label"] == 1) for r in rows])
     if not y.any() or y.all():
         return Lexicon()
-    how = (min_docs, precision, surprise, shortest, longest, exceptions)
-    of = lambda on: learn([t for t, v, o in zip(texts, y, on) if v and o], [t for t, v, o in zip(texts, y, on) if not v and o], *how)
+    seen = Evidence(texts, y, min_docs, shortest, longest)
+    of = lambda on: seen.learn(on, precision, surprise, exceptions)
     lexicon = of(np.ones(len(texts), bool))
     x = np.zeros((len(texts), 2))
     third = np.arange(len(texts)) % 3
