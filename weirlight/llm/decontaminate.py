@@ -162,6 +162,16 @@ def together(runs, reach: int = 8) -> tuple[int, int]:
 HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("matched", T.IntegerType()), T.StructField("item_words", T.IntegerType()), T.StructField("first_word", T.IntegerType())]))
 
 
+def searcher(index):
+    """A column function over a broadcast index: text to an array of HITS."""
+
+    @F.pandas_udf(HITS)
+    def searched(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("item_id", "matched", "item_words", "first_word"), h, strict=True)) for h in hits] for hits in index.value.search(texts.tolist())])
+
+    return searched
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: Column | None = None, out: str = "hits", block_words: int = 200_000, least_words: int = 13, share: float = 0.6) -> DataFrame:
     """docs with an array column ``out`` of (item_id, matched, item_words, first_word), empty for clean ones."""
     spark = docs.sparkSession
@@ -177,9 +187,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: Column | None = N
         mine.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
         index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine], least_words, share))
 
-        @F.pandas_udf(HITS)
-        def searched(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([[dict(zip(("item_id", "matched", "item_words", "first_word"), h, strict=True)) for h in hits] for hits in index.value.search(texts.tolist())])
-
-        column = searched(text) if k == 0 else F.concat(column, searched(text))
+        found = searcher(index)(text)
+        column = found if k == 0 else F.concat(column, found)
     return docs.withColumn(out, column)
