@@ -164,15 +164,6 @@ def features(sums: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.c_[np.log1p(sums), np.log1p(1000 * sums / np.maximum(words, 20))]
 
 
-def _entries(words, shortest: int, longest: int) -> set[str]:
-    """Whole words (with a space after) and beginnings of words."""
-    found = set()
-    for w in words:
-        found.add(w + " ")
-        found.update(w[:k] for k in range(shortest, min(len(w), longest) + 1))
-    return found
-
-
 def _fold_udf():
     @F.pandas_udf(T.StringType())
     def folded(texts: pd.Series) -> pd.Series:
@@ -191,41 +182,61 @@ def _surprise(a: int, n: int, b: int, m: int) -> float:
 
 
 class Evidence:
-    """Which entries occur in which folded texts; only entries of min_docs toxic texts or more are told apart."""
+    """Which entries occur in which folded texts; only entries of min_docs toxic texts or more are told apart.
+
+    Beginnings are counted a letter longer at a time, and only where the shorter one is frequent.
+    """
 
     def __init__(self, texts: list[str], y: np.ndarray, min_docs: int, shortest: int, longest: int):
         self.y, self.min_docs, self.shortest = y, min_docs, shortest
-        words = [set(t.split()) for t in texts]
-        count: Counter = Counter()
-        for w, bad in zip(words, y, strict=True):
-            if bad:
-                count.update(_entries(w, shortest, longest))
-        self.entries = sorted((e for e, n in count.items() if n >= min_docs), key=lambda e: (len(e.strip()), e))
-        number = {e: i for i, e in enumerate(self.entries)}
-        ids: dict[str, list[int]] = {}
+        bad = [t for t, v in zip(texts, y, strict=True) if v]
+        frequent: set[str] = set()
+        for k in range(shortest, longest + 1):
+            count: Counter = Counter()
+            for t in bad:
+                count.update({w[:k] for w in t.split() if len(w) >= k and (k == shortest or w[: k - 1] in frequent)})
+            frequent |= {e for e, n in count.items() if n >= min_docs}
+        count = Counter()
+        for t in bad:
+            count.update({w for w in t.split() if len(w) < shortest or w[: min(len(w), longest)] in frequent})
+        self.entries = sorted(frequent | {f"{w} " for w, n in count.items() if n >= min_docs}, key=lambda e: (len(e.strip()), e))
+        self.number = {e: i for i, e in enumerate(self.entries)}
         rows, found = [], []
-        self.clean_words: dict[int, list[str]] = {}
-        for r, (own, bad) in enumerate(zip(words, y, strict=True)):
-            mine: set[int] = set()
-            for w in own:
-                if w not in ids:
-                    ids[w] = [number[e] for e in _entries((w,), shortest, longest) if e in number]
-                mine.update(ids[w])
-            rows.append(np.full(len(mine), r))
-            found.append(np.fromiter(mine, np.int64, len(mine)))
-        for w in {w for own, bad in zip(words, y, strict=True) if not bad for w in own}:
-            if f"{w} " not in number:
-                for i in ids[w]:
-                    self.clean_words.setdefault(i, []).append(w)
+        for r, t in enumerate(texts):
+            mine = {i for w in set(t.split()) for i in self._of(w, longest)}
+            rows.append(np.full(len(mine), r, np.int32))
+            found.append(np.fromiter(mine, np.int32, len(mine)))
         self.rows, self.found = np.concatenate(rows), np.concatenate(found)
+        # Words of clean texts that begin like an entry which may come to be one.
+        a, b = self._counts(np.ones(len(texts), bool))
+        likely = set(np.flatnonzero((a + 0.1) / max(1, len(bad)) > 2 * b / max(1, len(texts) - len(bad))).tolist())
+        self.clean_words: dict[int, set[str]] = {}
+        for t, v in zip(texts, y, strict=True):
+            for w in () if v else set(t.split()):
+                if f"{w} " not in self.number:
+                    for i in likely.intersection(self._of(w, longest)):
+                        self.clean_words.setdefault(i, set()).add(w)
+
+    def _of(self, word: str, longest: int) -> list[int]:
+        """Numbers of the entries that a word is an instance of."""
+        out = []
+        for k in range(self.shortest, min(len(word), longest) + 1):
+            i = self.number.get(word[:k])
+            if i is None:
+                break
+            out.append(i)
+        whole = self.number.get(f"{word} ")
+        return out if whole is None else [*out, whole]
+
+    def _counts(self, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In how many toxic and clean texts that are on each entry is."""
+        used, bad = on[self.rows], self.y[self.rows] > 0
+        return tuple(np.bincount(self.found[used & side], minlength=len(self.entries)) for side in (bad, ~bad))
 
     def learn(self, on: np.ndarray, precision: float, surprise: float, phrases: tuple[str, ...]) -> Lexicon:
         """The lexicon of the texts that are on, without a curve."""
         n, m = int((self.y[on] > 0).sum()), int((self.y[on] == 0).sum())
-        used = on[self.rows]
-        bad = self.y[self.rows] > 0
-        a = np.bincount(self.found[used & bad], minlength=len(self.entries))
-        b = np.bincount(self.found[used & ~bad], minlength=len(self.entries))
+        a, b = self._counts(on)
         rate_bad, rate_good = (a + 0.1) / n, (b + 0.5) / m
         good = (a >= self.min_docs) & (rate_bad / (rate_bad + rate_good) >= precision)
         weights: dict[str, float] = {}
