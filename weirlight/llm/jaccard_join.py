@@ -99,6 +99,19 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, keep: list[str], n: in
     return materialise(rows.withColumn("s", sketched("text")).select(F.monotonically_increasing_id().alias("uid"), "id", "text", "s.*", *(["kept"] if keep else [])), "sketches")
 
 
+def likely_in(table: DataFrame, few: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows of table whose uid may be among those of few: a filter before a join that would shuffle all texts.
+
+    One bit for each hash of a uid, in words of 64: at most 2**(bits - 6) rows of two numbers, which is
+    why they can be sent to all executors. With far more uids than bits it lets all rows through.
+    """
+    h = F.pmod(F.xxhash64("uid"), F.lit(1 << bits))
+    word, bit = F.shiftright(h, 6), h.bitwiseAND(F.lit(63)).cast("int")
+    mask = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(uid), {1 << bits}L) & 63L as int))")
+    words = few.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    return table.withColumn("word", word).join(F.broadcast(words), "word").where(F.getbit("mask", bit) == 1).drop("word", "mask")
+
+
 def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Least index reachable from each of n nodes over the pairs (left, right)."""
     label = np.arange(n)
@@ -300,7 +313,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
-    table = sketches(docs, id_col, text_col, list(keep), n, similarity)
+    # The text is carried once.
+    carried = [c for c in keep if c != text_col]
+    table = sketches(docs, id_col, text_col, carried, n, similarity)
     # One node for each set: its least row number; the first row by id names it.
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid"))
     sets = materialise(table.where("size > 0").groupBy("set_a", "set_b").agg(F.min("uid").alias("uid"), first.alias("first")), "sets")
@@ -310,7 +325,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for more in links[1:]:
         together = together.unionByName(more)
     groups = materialise(components(together).withColumnsRenamed({"node": "uid"}), "groups")
-    texts = table.join(groups, "uid").select("uid", "component", "text", "size")
+    texts = likely_in(table.select("uid", "text", "size"), groups).join(groups, "uid").select("uid", "component", "text", "size")
     texts = materialise(texts, "group-texts")
     blocks = texts.groupBy("component").agg(F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.count("*") / 2000)).cast("long").alias("k"))
     dealt = texts.join(blocks, "component").select("component", "uid", "text", "k").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("k")))
@@ -322,7 +337,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
     classes = materialise(named.join(heads, "root").select("set_a", "set_b", "links", "head"), "classes")
     in_class = table.where("size > 0").join(classes, ["set_a", "set_b"])
-    kept = [F.col(f"kept.{c}").alias(c) for c in keep]
+    kept = [(F.col("text") if c == text_col else F.col(f"kept.{c}")).alias(c) for c in keep]
     some = in_class.select(F.col("id").alias(id_col) if id_col not in keep else F.col("id").alias("__id"), F.col("head.id").alias("class_id"), F.col("links").cast("long").alias("n_links"), (F.col("uid") == F.col("head.uid")).alias("first_of_class"), *kept)
     alone = table.where("size = 0").select(F.col("id").alias(id_col) if id_col not in keep else F.col("id").alias("__id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first_of_class"), *kept)
     return some.unionByName(alone).drop("__id")
