@@ -7,32 +7,57 @@ duplicates of each other. Empty tables pass through all stages.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirlight.llm import decontaminate, jaccard_join, mixing, quality, token_store
-from weirlight.llm._shared import materialise
+from weirlight.llm._shared import discard, materialise, written
 from weirlight.llm.queries import tokenizer_path
 
 
+#: Working tables of the stage before: its result has been written when the next stage begins.
+_left_over: list[str] = []
+
+
+def stage(f):
+    """A stage that first deletes the working tables of the stage before it."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, *_left_over)
+        _left_over.clear()
+        before = written()
+        out = f(spark, docs, sf_dir)
+        _left_over.extend(path for path in written() if path not in before)
+        return out
+
+    return run_stage
+
+
+@stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), 3, 1)
     return quality.score_documents(docs, model, out="__quality").where(F.col("__quality.score") >= 0.5).drop("__quality")
 
 
+@stage
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document by id of each near-duplicate class."""
     classes = jaccard_join.jaccard_classes(docs, keep=tuple(docs.columns))
     return classes.where("first_of_class").select(*docs.columns)
 
 
+@stage
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="__hits")
     return found.where(F.size("__hits") == 0).drop("__hits")
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one at a source's cut comes whole."""
     taken = mixing.mix_documents(docs, keep=tuple(docs.columns))
@@ -41,6 +66,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return again.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
 
 
+@stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token store of the mix, read back."""
     return token_store.read_store(token_store.write_store(docs, tokenizer_path()))
@@ -60,6 +86,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.split()[0])
+    for name, one in STAGES[:-1]:
+        before, docs = docs, materialise(one(spark, docs, sf_dir), "stage-" + name.split()[0])
+        discard(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,6 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+#: Paths of the tables that materialise has written and discard hasn't deleted, in order.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and return the table read back.
 
@@ -35,7 +39,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weirlight/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.weirlight_path = path
+    return table
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for table in tables:
+        path = table if isinstance(table, str) else getattr(table, "weirlight_path", None)
+        if path in _written:
+            _written.remove(path)
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written() -> list[str]:
+    """Paths of the tables that exist now."""
+    return list(_written)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

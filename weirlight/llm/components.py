@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialise
+from ._shared import discard, materialise
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     stars = materialise(links.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("a <> b").distinct(), "links")
     before = _digest(stars)
     while before[0]:
-        stars = materialise(_small_star(_large_star(stars)), "stars")
+        old, stars = stars, materialise(_small_star(_large_star(stars)), "stars")
+        discard(stars.sparkSession, old)
         now = _digest(stars)
         if now == before:
             break

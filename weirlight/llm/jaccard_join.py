@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialise, small_batches
+from ._shared import discard, materialise, small_batches, written
 from ._words import mix, shingle_hashes, word_hashes
 from .components import components
 
@@ -316,6 +316,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The text is carried once.
     carried = [c for c in keep if c != text_col]
     table = sketches(docs, id_col, text_col, carried, n, similarity)
+    before = written()
     # One node for each set: its least row number; the first row by id names it.
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid"))
     sets = materialise(table.where("size > 0").groupBy("set_a", "set_b").agg(F.min("uid").alias("uid"), first.alias("first")), "sets")
@@ -336,6 +337,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sets.join(roots, "uid", "left").select("set_a", "set_b", "first", F.coalesce("root", "uid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
     classes = materialise(named.join(heads, "root").select("set_a", "set_b", "links", "head"), "classes")
+    # The result reads the sketches and the classes only.
+    discard(spark, *[path for path in written() if path not in before and path != classes.weirlight_path])
     in_class = table.where("size > 0").join(classes, ["set_a", "set_b"])
     kept = [(F.col("text") if c == text_col else F.col(f"kept.{c}")).alias(c) for c in keep]
     some = in_class.select(F.col("id").alias(id_col) if id_col not in keep else F.col("id").alias("__id"), F.col("head.id").alias("class_id"), F.col("links").cast("long").alias("n_links"), (F.col("uid") == F.col("head.uid")).alias("first_of_class"), *kept)
