@@ -92,7 +92,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, keep: list[str], n: in
             paths = mix(starts ^ mix((sig[slots].astype(_U) << _U(8)) + slots.astype(_U) + _U(1)))
             a, b = np.add.reduce(mix(s ^ _U(0x5851F42D4C957F2D))), np.bitwise_xor.reduce(mix(s + _U(0x14057B7EF767814F)))
             rows.append((int(a.view(np.int64)), int(b.view(np.int64)), len(s), sig.tobytes(), paths.view(np.int64)))
-        return pd.DataFrame(rows, columns=["set_a", "set_b", "size", "sig", "paths"]).astype({"set_a": "Int64", "set_b": "Int64", "size": "int32"})
+        a, b, size, sig, paths = zip(*rows, strict=True) if rows else ((),) * 5
+        # Whole numbers with nulls among them, which must not pass through floats.
+        return pd.DataFrame({"set_a": pd.array(a, "Int64"), "set_b": pd.array(b, "Int64"), "size": np.array(size, np.int32), "sig": list(sig), "paths": list(paths)})
 
     kept = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *kept)

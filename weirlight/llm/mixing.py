@@ -35,7 +35,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: i
 
     A source is full if the level at which all sources up to it (by cap over weight) are full and the
     others stand at the same share of their weights is enough for it. The rest stand at the level
-    that spends what the full ones leave.
+    that spends what the full ones leave: that of the first of them, the highest, as the levels after it
+    count ones as full that are not.
     """
     by_source = sizes.groupBy("no_source", "src").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     turn = F.pmod(F.row_number().over(Window.orderBy("no_source", "src")) - 1, F.lit(len(weights)))
@@ -50,7 +51,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: i
         .withColumn("weight_from", F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("limit", (F.col("source_size") * F.lit(int(cap))).cast("double"))
         .withColumn("is_full", F.col("limit") <= level * F.col("weight"))
-        .withColumn("rest_level", F.min(F.when(~F.col("is_full"), level)).over(everything))
+        .withColumn("rest_level", F.max(F.when(~F.col("is_full"), level)).over(everything))
         .withColumn("target", F.when(F.col("is_full"), F.col("limit")).otherwise(F.col("rest_level") * F.col("weight")))
         .select("no_source", "src", "n", "source_size", "target")
     )
@@ -134,7 +135,7 @@ levels AS (
 targets AS (
   SELECT no_source, src, source_size,
          CASE WHEN max_target <= level * weight THEN max_target
-              ELSE min(CASE WHEN NOT max_target <= level * weight THEN level END) OVER () * weight END AS target
+              ELSE max(CASE WHEN NOT max_target <= level * weight THEN level END) OVER () * weight END AS target
   FROM levels),
 summed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,

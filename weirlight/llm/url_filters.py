@@ -90,7 +90,7 @@ def judge_urls(
     starts = stacks.withColumn("block", block(F.col("inner")))
     if cuts:
         last = starts.groupBy("block").agg(F.max_by("stack", "inner").alias("stack"))
-        carried = last.select((F.col("block") + 1).alias("block"), F.lit("").alias("inner"), "stack")
+        carried = last.where(F.col("block") < len(cuts)).select((F.col("block") + 1).alias("block"), F.lit("").alias("inner"), "stack")
         starts = starts.select("block", "inner", "stack").unionByName(carried)
 
     # The urls' keys, one for each host suffix that some rule's host can equal.
