@@ -10,7 +10,7 @@ this independently: a pair at similarity 0.8 misses all roots with probability 0
 1. Nodes that share a path make a bucket. Small buckets are compared whole, by signatures. In a large
    one, each of a few pivots takes the nodes whose signature is near to its own: the near ones are in
    its component, and the very near ones leave the bucket, because by the triangle inequality of
-   Jaccard distance all their partners are near to the pivot too. What stays moves on to longer paths;
+   the distance of signatures all their partners are near to the pivot too. What stays moves on to longer paths;
    after ``DEPTH`` of them it is compared whole, in blocks.
 2. Components of the links found are candidate groups, and in each group every pair of sets is compared
    exactly, in blocks of bounded size, by counts of shared shingles. Links are pairs of at least the
@@ -38,8 +38,11 @@ from .components import components
 
 _U = np.uint64
 SLOTS, RUNS, DEPTH, SMALL, PIVOTS = 64, 16, 6, 200, 4
-#: Signatures agree on this share of slots or more: a candidate link, and sure not to miss a partner elsewhere.
-NEAR, VERY_NEAR = 0.55, 0.80
+#: Signatures that agree on this share of slots or more are a candidate link.
+NEAR = 0.55
+#: The same for links to pivots; and the share from which a node leaves its bucket. Their difference is the
+#: share of slots that a pair at similarity 0.8 may differ in (0.2) and three deviations of it.
+PIVOT_NEAR, VERY_NEAR = 0.36, 0.72
 #: Shingles in one side of a block of the exact comparison.
 BLOCK = 1_000_000
 
@@ -214,14 +217,17 @@ def candidate_links(nodes: DataFrame, similarity: float) -> list[DataFrame]:
             for b in batches:
                 sig = np.frombuffer(b"".join(b["sig"]), np.uint32).reshape(-1, SLOTS)
                 uid, path = b["uid"].to_numpy(), b["path"].to_numpy().view(_U)
-                a, z, stay = [], [], np.ones(len(b), bool)
-                for r, (names, values) in enumerate(zip(b["pivot_uids"], b["pivot_sigs"], strict=True)):
-                    share = [_agree(sig[r], np.frombuffer(v, np.uint32)) for v in values]
-                    for p, s in zip(names, share, strict=True):
-                        if s >= NEAR and p != uid[r]:
-                            a.append(uid[r])
-                            z.append(p)
-                    stay[r] = max(share) < VERY_NEAR
+                names = [x.tolist() if hasattr(x, "tolist") else list(x) for x in b["pivot_uids"]]
+                share = np.zeros((len(b), PIVOTS))
+                for r, values in enumerate(b["pivot_sigs"]):
+                    share[r, : len(values)] = _agree(sig[r], np.frombuffer(b"".join(values), np.uint32).reshape(-1, SLOTS))
+                # A node has a link to its first near pivot; pivots that a node is near to are linked once.
+                near = share >= PIVOT_NEAR
+                stay = share.max(1) < VERY_NEAR
+                first = near.argmax(1)
+                linked = {(int(uid[r]), names[r][first[r]]) for r in np.flatnonzero(near.any(1))}
+                linked |= {(names[r][first[r]], names[r][k]) for r in np.flatnonzero(near.sum(1) > 1) for k in np.flatnonzero(near[r])}
+                a, z = (np.array(sorted(v for v in linked if v[0] != v[1]), np.int64).reshape(-1, 2).T)
                 row, path = longer(path[stay], sig[stay], similarity)
                 yield pd.DataFrame({"kind": 0, "x": np.array(a, np.int64), "y": np.array(z, np.int64)})
                 yield pd.DataFrame({"kind": 1, "x": uid[stay][row], "y": path.view(np.int64)})
