@@ -170,7 +170,7 @@ class Encoder:
     tokens are encoded whole.
     """
 
-    MOST = 650_000
+    MOST = 450_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -231,7 +231,7 @@ def encoder(path: str) -> Encoder:
 
 
 #: Characters that are encoded at a time: the more, the fewer pieces are met twice.
-CHARACTERS = 6_000_000
+CHARACTERS = 4_000_000
 
 
 def _gathered(batches, column: str, size: int):
