@@ -40,9 +40,9 @@ _U = np.uint64
 SLOTS, RUNS, DEPTH, SMALL, PIVOTS = 64, 16, 6, 200, 4
 #: Signatures that agree on this share of slots or more are a candidate link.
 NEAR = 0.55
-#: The same for links to pivots; and the share from which a node leaves its bucket. Their difference is the
-#: share of slots that a pair at similarity 0.8 may differ in (0.2) and three deviations of it.
-PIVOT_NEAR, VERY_NEAR = 0.36, 0.72
+#: The share from which a node leaves a pivot's bucket. A pair at similarity 0.8 differs in 0.2 of the slots,
+#: give or take 0.05, so what is this near to a pivot has its partners at NEAR to it or more.
+VERY_NEAR = 0.80
 #: Shingles in one side of a block of the exact comparison.
 BLOCK = 1_000_000
 
@@ -222,7 +222,7 @@ def candidate_links(nodes: DataFrame, similarity: float) -> list[DataFrame]:
                 for r, values in enumerate(b["pivot_sigs"]):
                     share[r, : len(values)] = _agree(sig[r], np.frombuffer(b"".join(values), np.uint32).reshape(-1, SLOTS))
                 # A node has a link to its first near pivot; pivots that a node is near to are linked once.
-                near = share >= PIVOT_NEAR
+                near = share >= NEAR
                 stay = share.max(1) < VERY_NEAR
                 first = near.argmax(1)
                 linked = {(int(uid[r]), names[r][first[r]]) for r in np.flatnonzero(near.any(1))}
@@ -232,7 +232,10 @@ def candidate_links(nodes: DataFrame, similarity: float) -> list[DataFrame]:
                 yield pd.DataFrame({"kind": 0, "x": np.array(a, np.int64), "y": np.array(z, np.int64)})
                 yield pd.DataFrame({"kind": 1, "x": uid[stay][row], "y": path.view(np.int64)})
 
-        seen = materialise(large.join(pivots, "path").select("path", "uid", "sig", "pivot_uids", "pivot_sigs").mapInPandas(peeled, "kind int, x long, y long"), "peeled")
+        # Rows of a node stand together, so that a link that several of its paths find is made once.
+        met = large.join(pivots, "path").select("path", "uid", "sig", "pivot_uids", "pivot_sigs")
+        met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid").sortWithinPartitions("uid")
+        seen = materialise(met.mapInPandas(peeled, "kind int, x long, y long"), "peeled")
         found.append(seen.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
         rows = seen.where("kind = 1").select(F.col("x").alias("uid"), F.col("y").alias("path"))
 
