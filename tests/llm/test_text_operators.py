@@ -266,7 +266,8 @@ def test_near_copies_by_brute_force(spark, monkeypatch, small):
             texts.append(" ".join(w))
     texts += [base[0] + " " + " ".join(rng.choice(words, 60)) for _ in range(5)] + base[:2] * 4
     monkeypatch.setattr(jaccard_join, "SMALL", small)
-    monkeypatch.setattr(jaccard_join, "DEPTH", 6 if small == 200 else 2)
+    monkeypatch.setattr(jaccard_join, "DEPTH", 12 if small == 200 else 3)
+    monkeypatch.setattr(jaccard_join, "WHOLE", 20_000 if small == 200 else 5)
     monkeypatch.setattr(jaccard_join, "BLOCK", 1_000_000 if small == 200 else 600)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("class_id", F.lit("clash")).withColumn("uid", F.lit(1))
     found = {r["doc_id"]: r for r in jaccard_join.jaccard_classes(docs.select("doc_id", "text", "uid")).collect()}

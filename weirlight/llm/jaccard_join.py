@@ -11,7 +11,8 @@ this independently: a pair at similarity 0.8 misses all roots with probability 0
    one, each of a few pivots takes the nodes whose signature is near to its own: the near ones are in
    its component, and the very near ones leave the bucket, because by the triangle inequality of
    the distance of signatures all their partners are near to the pivot too. What stays moves on to longer paths;
-   after ``DEPTH`` of them it is compared whole, in blocks.
+   once no bucket has more than ``WHOLE`` nodes, or after ``DEPTH`` steps, large ones too are compared
+   whole, in blocks.
 2. Components of the links found are candidate groups, and in each group every pair of sets is compared
    exactly, in blocks of bounded size, by counts of shared shingles. Links are pairs of at least the
    similarity; classes are the components of these.
@@ -37,7 +38,9 @@ from ._words import mix, shingle_hashes, word_hashes
 from .components import components
 
 _U = np.uint64
-SLOTS, RUNS, DEPTH, SMALL, PIVOTS = 64, 16, 6, 200, 4
+SLOTS, RUNS, SMALL, PIVOTS = 64, 16, 200, 4
+#: Paths grow while some bucket has more nodes than WHOLE, to DEPTH steps at most, and by one step at least.
+WHOLE, DEPTH = 20_000, 12
 #: Signatures that agree on this share of slots or more are a candidate link.
 NEAR = 0.55
 #: The share from which a node leaves a pivot's bucket. A pair at similarity 0.8 differs in 0.2 of the slots,
@@ -205,7 +208,12 @@ def candidate_links(nodes: DataFrame, similarity: float) -> list[DataFrame]:
         ordered = small.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path")
         found.append(materialise(ordered.mapInPandas(_small_buckets, "a long, b long"), "near"))
         large = live.where(F.col("n") > SMALL)
-        if large.isEmpty():
+        largest = large.agg(F.max("n")).first()[0] or 0
+        if not largest:
+            return found
+        if depth and (largest <= WHOLE or depth == DEPTH - 1):
+            blocks = large.select("path", "uid", "sig", F.ceil(F.col("n") / 2000).alias("k")).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("k")))
+            found.append(_in_blocks(blocks, "path", "k").mapInPandas(_whole_blocks, "a long, b long"))
             return found
         # Pivots: the nodes of least hash in each large bucket; there are few buckets for many rows.
         draw = F.struct(F.xxhash64("uid", F.lit(depth)).alias("draw"), "uid", "sig")
@@ -238,12 +246,6 @@ def candidate_links(nodes: DataFrame, similarity: float) -> list[DataFrame]:
         seen = materialise(met.mapInPandas(peeled, "kind int, x long, y long"), "peeled")
         found.append(seen.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
         rows = seen.where("kind = 1").select(F.col("x").alias("uid"), F.col("y").alias("path"))
-
-    # What no pivot and no longer path has taken apart: whole buckets, in pairs of blocks of nodes.
-    counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    live = rows.join(counts, "path").join(sigs, "uid")
-    live = live.select("path", "uid", "sig", F.ceil(F.col("n") / 2000).alias("k")).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("k")))
-    found.append(_in_blocks(live, "path", "k").mapInPandas(_whole_blocks, "a long, b long"))
     return found
 
 
