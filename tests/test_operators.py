@@ -266,3 +266,10 @@ def test_report_escapes(spark):
 
 def test_pairs_of_candidates():
     assert search.candidates(4, 2) == [p for p in combinations(range(4), 2) if p[1] - p[0] >= 2]
+
+
+def test_smallest_of_wide_rows():
+    d = np.round(np.random.default_rng(8).random((20, 5003)), 3)
+    order = np.argsort(d, 1, kind="stable")[:, :3]
+    columns, values = knn.smallest(d, 3)
+    assert (values == np.take_along_axis(d, order, 1)).all() and (columns == order).all()

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import squared_distance
 
+#: Distances that are computed at a time: 32 MB.
+SLICE = 4_000_000
 #: Numbers in one block of references: 64 MB of doubles.
 BLOCK_VALUES = 8_000_000
 
@@ -41,16 +43,35 @@ def banded(refs: DataFrame, band: int) -> DataFrame:
 
 def distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Squared distances by one matrix product; never below 0."""
-    return np.maximum((q * q).sum(1)[:, None] + (r * r).sum(1)[None] - 2 * q @ r.T, 0)
+    d = q @ (-2 * r.T)
+    d += (r * r).sum(1)
+    d += (q * q).sum(1)[:, None]
+    return np.maximum(d, 0, out=d)
+
+
+#: Columns that smallest looks at together in wide rows.
+LEAF = 64
 
 
 def smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(columns, values) of the k smallest of each row, in order; ties go to the smaller column."""
-    k = min(k, d.shape[1])
-    part = np.argpartition(d, k - 1, 1)[:, :k] if k < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
-    value = np.take_along_axis(d, part, 1)
-    order = np.lexsort((part, value), axis=1)
-    return np.take_along_axis(part, order, 1), np.take_along_axis(value, order, 1)
+    """(columns, values) of the k smallest of each row, in order; ties go to the smaller column.
+
+    In wide rows, the k smallest are in the k leaves of columns whose least values are smallest, so
+    only those are looked at.
+    """
+    n, width = d.shape
+    k = min(k, width)
+    if width > 16 * LEAF * k:
+        whole = width // LEAF * LEAF
+        least = d[:, :whole].reshape(n, -1, LEAF).min(2)
+        leaves = np.argsort(least, 1, kind="stable")[:, :k]
+        columns = (np.sort(leaves, 1)[:, :, None] * LEAF + np.arange(LEAF)).reshape(n, -1)
+        columns = np.concatenate([columns, np.broadcast_to(np.arange(whole, width), (n, width - whole))], 1)
+    else:
+        columns = np.broadcast_to(np.arange(width), (n, width))
+    value = np.take_along_axis(d, columns, 1)
+    part = np.argsort(value, 1, kind="stable")[:, :k]
+    return np.take_along_axis(columns, part, 1), np.take_along_axis(value, part, 1)
 
 
 def nearest_blocked(queries: DataFrame, refs: DataFrame, k: int, group: str | None = None, fold: str | None = None, skip_self: bool = False) -> DataFrame:
@@ -83,8 +104,8 @@ def nearest_blocked(queries: DataFrame, refs: DataFrame, k: int, group: str | No
                     names, z, folds = held.value[g]
                     own = part["query"].to_numpy()
                     # Queries in slices, so that the matrix of distances stays small.
-                    for at in range(0, len(part), max(1, 4_000_000 // len(z))):
-                        rows = slice(at, at + max(1, 4_000_000 // len(z)))
+                    for at in range(0, len(part), max(1, SLICE // len(z))):
+                        rows = slice(at, at + max(1, SLICE // len(z)))
                         d = distances(np.stack(part["z"].iloc[rows].to_numpy()).astype(float), z)
                         if fold:
                             d[part[fold].to_numpy()[rows][:, None] == folds[None]] = np.inf
