@@ -333,7 +333,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One node for each set: its least row number; the first row by id names it.
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid"))
     sets = materialise(table.where("size > 0").groupBy("set_a", "set_b").agg(F.min("uid").alias("uid"), first.alias("first")), "sets")
-    nodes = table.join(sets.select("uid"), "uid").select("uid", "sig", "paths")
+    nodes = materialise(table.select("uid", "sig", "paths").join(sets.select("uid"), "uid"), "nodes")
     links = candidate_links(nodes, similarity)
     together = links[0]
     for more in links[1:]:
