@@ -344,6 +344,25 @@ def test_planted_passages(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_both_sides_of_a_replaced_stretch_count():
+    item = [f"t{i}" for i in range(32)]
+    for k, many in ((8, 24), (9, 23), (16, 16)):
+        at = (32 - k) // 2
+        text = " ".join(["before"] * 40 + item[:at] + ["other"] * k + item[at + k :] + ["after"] * 40)
+        assert decontaminate.Index([(1, " ".join(item))]).search([text]) == [[(1, many, 32, 40)]]
+
+
+def test_all_runs_of_four_words_along_a_diagonal():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        same = rng.random(40) < rng.choice([0.4, 0.6, 0.9])
+        item = np.arange(40, dtype=np.uint64)
+        runs = decontaminate.runs_along(np.r_[np.zeros(5, np.uint64) + 99, np.where(same, item, 99)].astype(np.uint64), item, 5)
+        places = [int(p) for _, own, _ in runs for p in own]
+        long = {i + m.start() for m in re.finditer("1{4,}", "".join("01"[int(x)] for x in same)) for i in range(len(m[0]))}
+        assert long <= set(places) and len(places) == len(set(places)) and same[places].all() and all(first == own[0] + 5 for _, own, first in runs)
+
+
 # 10 Fingerprints
 
 

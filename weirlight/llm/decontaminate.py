@@ -3,8 +3,9 @@
 Words are runs of letters, digits and underscores, in lower case. A mask picks some places of a span of
 words; the hash of the words there stands for the span, so substituted words at the other places do
 not matter. Documents' spans are looked up among the benchmark's, for each mask. Around each hit, item
-and document are laid side by side, and the best run of equal words with few substituted ones is
-found. Runs on nearby diagonals, as a lost or added word makes them, count together. A document is
+and document are laid side by side, and all runs of equal words with few substituted ones are found.
+Runs on one diagonal, as a replaced stretch makes them, and on nearby ones, as a lost or added word
+makes them, count together. A document is
 contaminated by an item of which it has ``least_words`` words in such runs, or the share ``share`` of
 the item where that is less.
 
@@ -122,28 +123,44 @@ class Index:
                 continue
             d, k = int(rows[0, 0]), int(rows[0, 1])
             item = self.words[k]
-            runs = [r for diagonal in rows[:, 2].tolist() if (r := best_run(words[bound[d] : bound[d + 1]], item, diagonal - int(bound[d])))]
+            runs = [r for diagonal in rows[:, 2].tolist() for r in runs_along(words[bound[d] : bound[d + 1]], item, diagonal - int(bound[d]))]
             matched, start = together(runs)
             if matched >= self.need[k]:
                 out[first + d].append((self.ids[k], matched, len(item), start))
 
 
-def best_run(words: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, np.ndarray, int] | None:
-    """(diagonal, places of the item that are equal, first place in words) of the best run along a diagonal.
+def runs_along(words: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[int, np.ndarray, int]]:
+    """(diagonal, places of the item that are equal, first place in words) of every run along a diagonal.
 
-    Equal words count 1 and substituted ones -2 (as -1 while fewer than a third are), and the run of
-    the largest sum is the best. Runs of fewer than 4 equal words are none.
+    Equal words count 1 and substituted ones -1.5. The runs are the maximal scoring segments, so a run
+    goes over substituted words as long as what follows makes up for them, and else another run begins.
+    Runs of fewer than 4 equal words are none.
     """
     low, high = max(0, -diagonal), min(len(item), len(words) - diagonal)
     if high <= low:
-        return None
-    same = item[low:high] == words[low + diagonal : high + diagonal]
-    sums = np.r_[0, np.cumsum(np.where(same, 1.0, -1.5))]
-    gain = sums - np.minimum.accumulate(sums)
-    end = int(gain.argmax())
-    start = int(sums[: end + 1].argmin())
-    places = low + np.flatnonzero(same[start:end]) + start
-    return (diagonal, places, low + start + diagonal) if len(places) >= min(4, len(item)) else None
+        return []
+    equal = low + np.flatnonzero(item[low:high] == words[low + diagonal : high + diagonal])
+    if not len(equal):
+        return []
+    cuts = np.flatnonzero(np.diff(equal) > 1) + 1
+    # Stretches of equal words, as bounds in equal; sums before and after each stretch.
+    first, last = np.r_[0, cuts], np.r_[cuts, len(equal)]
+    after = last - 1.5 * (equal[first] - low - first)
+    # Each open run: its bounds, its sums, and the nearest run before it that begins no higher.
+    open_: list[tuple[int, int, float, float, int]] = []
+    for f, e, r in zip(first.tolist(), last.tolist(), after.tolist(), strict=True):
+        left, j = r - (e - f), len(open_) - 1
+        while True:
+            while j >= 0 and open_[j][2] > left:
+                j = open_[j][4]
+            if j < 0 or open_[j][3] > r:
+                break
+            f, _, left, _, before = open_[j]
+            del open_[j:]
+            j = before
+        open_.append((f, e, left, r, j))
+    least = min(4, len(item))
+    return [(diagonal, equal[f:e], int(equal[f]) + diagonal) for f, e, *_ in open_ if e - f >= least]
 
 
 def together(runs, reach: int = 8) -> tuple[int, int]:
