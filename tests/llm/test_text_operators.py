@@ -363,6 +363,29 @@ def test_all_runs_of_four_words_along_a_diagonal():
         assert long <= set(places) and len(places) == len(set(places)) and same[places].all() and all(first == own[0] + 5 for _, own, first in runs)
 
 
+def test_a_copy_among_many_repeats_of_a_phrase():
+    item = [f"t{i}" for i in range(32)]
+    copy = [x for at in range(0, 32, 8) for x in (*item[at : at + 8], "added")]
+    repeats = [x for k in range(100) for x in (*item[10:19], *[f"line{k}"] * 30)]
+    text = " ".join(repeats + ["between"] * 40 + copy)
+    # The last 8 words hold no whole span of 9, so that run has no seed.
+    assert decontaminate.Index([(1, " ".join(item))]).search([text]) == [[(1, 24, 32, len(repeats) + 40)]]
+
+
+def test_runs_together_by_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        runs = []
+        for _ in range(int(rng.integers(1, 150))):
+            diagonal = int(rng.integers(-20, 400))
+            places = np.unique(rng.integers(0, 40, 9))
+            runs.append((diagonal, places, int(places[0]) + diagonal))
+        windows = [[r for r in runs if abs(r[0] - at) <= 8] for at, *_ in runs]
+        most, first = max((len({int(p) for r in w for p in r[1]}), -min(r[2] for r in w)) for w in windows)
+        assert decontaminate.together(runs) == (most, -first)
+    assert decontaminate.together([]) == (0, 0)
+
+
 # 10 Fingerprints
 
 

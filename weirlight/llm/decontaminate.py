@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -164,15 +165,37 @@ def runs_along(words: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple
 
 
 def together(runs, reach: int = 8) -> tuple[int, int]:
-    """(words matched, first place): the most distinct places of an item in runs within ``reach`` diagonals of one of them."""
-    best = (0, 0)
+    """(words matched, first place): the most distinct places of an item in runs within ``reach`` diagonals of one of them.
+
+    A window slides over the diagonals and counts how many of its runs cover each place, so each run
+    comes in and goes out once. Of equal windows, the one with the smallest first place is taken.
+    """
+    if not runs:
+        return 0, 0
     runs.sort(key=lambda r: r[0])
-    diagonals = np.array([r[0] for r in runs])
-    for diagonal, places, start in sorted(runs, key=lambda r: -len(r[1]))[:64]:
-        low, high = np.searchsorted(diagonals, [diagonal - reach, diagonal + reach + 1])
-        near = runs[low:high]
-        matched = len(np.unique(np.concatenate([r[1] for r in near])))
-        best = max(best, (matched, -min(r[2] for r in near)))
+    cover = np.zeros(1 + max(int(r[1][-1]) for r in runs), np.int64)
+    # Runs of the window that may still be its first: their first places rise.
+    firsts: deque[int] = deque()
+    best, matched, low, high = (0, 0), 0, 0, 0
+    for k, (diagonal, _, _) in enumerate(runs):
+        if k and runs[k - 1][0] == diagonal:
+            continue
+        while high < len(runs) and runs[high][0] <= diagonal + reach:
+            places = runs[high][1]
+            matched += np.count_nonzero(cover[places] == 0)
+            cover[places] += 1
+            while firsts and runs[firsts[-1]][2] >= runs[high][2]:
+                firsts.pop()
+            firsts.append(high)
+            high += 1
+        while runs[low][0] < diagonal - reach:
+            places = runs[low][1]
+            cover[places] -= 1
+            matched -= np.count_nonzero(cover[places] == 0)
+            if firsts[0] == low:
+                firsts.popleft()
+            low += 1
+        best = max(best, (int(matched), -runs[firsts[0]][2]))
     return best[0], -best[1]
 
 
