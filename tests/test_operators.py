@@ -273,3 +273,28 @@ def test_smallest_of_wide_rows():
     order = np.argsort(d, 1, kind="stable")[:, :3]
     columns, values = knn.smallest(d, 3)
     assert (values == np.take_along_axis(d, order, 1)).all() and (columns == order).all()
+
+
+def test_per_interval_model_in_blocks_of_normal_streams(spark, monkeypatch):
+    from weirlight.operators import interval_model
+
+    rng = np.random.default_rng(8)
+    data = [(f"{s:02d}", p, float(p), *map(float, rng.normal(size=2) + (20 if s == 41 and p > 8 else 0))) for s in range(44) for p in range(17)]
+    df = spark.createDataFrame(data, "stream string, pos int, t double, x1 double, x2 double").cache()
+    normal, test = df.where("stream < '40'"), df.where("stream >= '40'")
+    one = lambda: rows(interval_model.detect(normal, test, ["x1", "x2"], statistic="p90", withheld=1.0), "stream", "start_index", "end_index", F.round("score", 6), F.round("threshold", 6))
+    whole = one()
+    assert any(r[0] == "41" and r[2] > 8 for r in whole)
+    monkeypatch.setattr(interval_model, "BLOCK_BYTES", 17 * 3 * 8 * 10)
+    held = interval_model.normal_blocks(normal, ["t", "x1", "x2"])
+    assert len(held) > 1 and sum(len(b.value) for b in held) == 40
+    assert one() == whole
+    model = lambda room: interval_model.IntervalModel(normals(room), 2, 9, 0.999, "p90", 1.0, 0)
+
+    def normals(room):
+        n = interval_model.Normal([lambda b=b: b.value for b in held], 2)
+        n.room = room
+        return n
+
+    kept, made = model(1 << 20), model(0)
+    assert kept.kept is not None and made.kept is None and kept.threshold == made.threshold

@@ -31,3 +31,32 @@ def test_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
 def test_runs(spark, sf_dir, name):
     assert Q.QUERIES[name](spark, sf_dir).count() >= 0
+
+
+def test_per_interval_detector_takes_all_whole_windows(spark, sf_dir, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(Q.interval_model, "detect", lambda normal, test, *a, **k: asked.update(normal=normal, test=test) or test)
+    Q.QUERIES["per_interval_detector"](spark, sf_dir)
+    whole = {r["stream"] for r in Q.cut(spark, sf_dir, 17).select("stream").distinct().collect()}
+    sides = [{r["stream"] for r in asked[x].select("stream").distinct().collect()} for x in ("normal", "test")]
+    assert sides[0] | sides[1] == whole and not sides[0] & sides[1] and {int(s.split("_")[0]) % 5 for s in sides[1]} == {4}
+
+
+def test_detector_queries_have_default_settings(spark, sf_dir, monkeypatch):
+    from weirlight import config
+    from weirlight.plans import detect as plan
+
+    used = []
+
+    def noted(corpus, channels, c):
+        used.append(c)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(plan, "fit", noted)
+    for name in ("score_streams", "widest_first_search", "isolation_forest", "bagged_detector", "point_scores"):
+        with pytest.raises(KeyboardInterrupt):
+            Q.QUERIES[name](spark, sf_dir)
+    assert len(used) == 5
+    for c in used:
+        assert all(c[x] == config.DEFAULTS[x] for x in ("window", "signature", "metric", "calibrate"))
+        assert c["detect"]["forest"] == config.DEFAULTS["detect"]["forest"] and c["detect"]["sig_tol"] == config.DEFAULTS["detect"]["sig_tol"]

@@ -764,10 +764,6 @@ def split_users(spark, d):
     return e.where("stream % 5 <> 4"), e.where("stream % 5 = 4")
 
 
-#: A search over windows of 8 steps keeps these runs small.
-SMALL = {"window": {"size": 8}, "signature": {"granularity": 2, "normalise_method": "zscore"}, "detect": {"sig_tol": 1}, "evaluate": {"operating_points": None}}
-
-
 @query()
 def whitening(spark, d):
     w, _ = metric.create(corpus(spark, d), 0.999)
@@ -776,35 +772,32 @@ def whitening(spark, d):
 
 @query()
 def score_streams(spark, d):
-    return detect(*split_users(spark, d), CHANNELS, SMALL)["windows"].drop("anomalous")
+    return detect(*split_users(spark, d), CHANNELS)["windows"].drop("anomalous")
 
 
 @query()
 def widest_first_search(spark, d):
-    return detect(*split_users(spark, d), CHANNELS, SMALL)["points"]
+    return detect(*split_users(spark, d), CHANNELS)["points"]
 
 
 @query()
 def isolation_forest(spark, d):
-    c = {"detect": {"method": "isolation_forest", "neighbours": 1, "forest": {"trees": 40}}}
-    from ..config import merged
-
-    return detect(*split_users(spark, d), CHANNELS, merged(SMALL, c))["windows"].drop("anomalous")
+    c = {"detect": {"method": "isolation_forest", "neighbours": 1}}
+    return detect(*split_users(spark, d), CHANNELS, c)["windows"].drop("anomalous")
 
 
 @query()
 def bagged_detector(spark, d):
-    from ..config import merged
-
-    return detect(*split_users(spark, d), CHANNELS, merged(SMALL, {"detect": {"bagged": {"draws": 2, "features": 1}}}))["points"]
+    """Draws have no default but none; a bagged run has no operating points."""
+    c = {"detect": {"bagged": {"draws": 2}}, "evaluate": {"operating_points": None}}
+    return detect(*split_users(spark, d), CHANNELS, c)["points"]
 
 
 @query()
 def per_interval_detector(spark, d):
     c = windows.cut_windows(days(spark, d), 16, 17).select("stream", "pos", "t", *CHANNELS, "source")
-    first = c.where(F.col("stream").endswith("_1")).drop("source")
-    side = streams.source_of(F.col("stream")).cast("long") % 5
-    return interval_model.detect(first.where(side != 4), first.where(side == 4), CHANNELS, statistic="p90", withheld=0.2)
+    side = F.col("source") % 5
+    return interval_model.detect(c.where(side != 4), c.where(side == 4), CHANNELS, statistic="p90", withheld=0.2)
 
 
 @query()
@@ -812,10 +805,12 @@ def point_scores(spark, d):
     from ..plans import detect as plan
     from ..config import check
 
-    c = check(SMALL)
+    c = check({})
     corpus_, test = split_users(spark, d)
-    det = plan.fit(corpus_, CHANNELS, check({"window": {"size": 8}, "signature": {"granularity": 2, "normalise": False}}))
-    return scoring.score_points(test, CHANNELS, det.refs, det.metric, det.thresholds, 8, 2, c["detect"]["neighbours"], 1, 8)
+    det = plan.fit(corpus_, CHANNELS, c)
+    points = c["evaluate"]["point_scores"]
+    apply = lambda s: normalise.apply(s, det.normaliser)
+    return scoring.score_points(test, CHANNELS, det.refs, det.metric, det.thresholds, points["window"], points["stride"], c["detect"]["neighbours"], c["detect"]["band"], c["window"]["size"], c["signature"]["trunc"], apply)
 
 
 @query()
