@@ -298,3 +298,14 @@ def test_per_interval_model_in_blocks_of_normal_streams(spark, monkeypatch):
 
     kept, made = model(1 << 20), model(0)
     assert kept.kept is not None and made.kept is None and kept.threshold == made.threshold
+
+
+def test_cells_find_nine_tenths_of_the_neighbours(spark):
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(2000, 24))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(z)], "id long, z array<double>").cache()
+    queries, refs = df.where("id % 20 = 0").withColumnRenamed("id", "query"), df.withColumnRenamed("id", "ref")
+    found = {(r["query"], r["ref"]) for r in knn.nearest_in_cells(queries, refs, 4).collect()}
+    d = knn.distances(z[::20], z)
+    true = {(20 * k, int(r)) for k, row in enumerate(d) for r in np.argsort(row)[1:4]}
+    assert len(true & found) >= 0.9 * len(true)

@@ -128,8 +128,32 @@ def cells_of(n: int) -> int:
     return max(1, min(int(4 * math.sqrt(n)), n // 39, n))
 
 
-def nearest_in_cells(queries: DataFrame, refs: DataFrame, k: int, probes: int = 8, seed: int = 0) -> DataFrame:
-    """Approximate: k-means cells; each query looks at the ``probes`` cells whose centres are nearest."""
+#: Queries whose neighbours are looked up exactly to measure recall.
+MEASURED = 256
+
+
+def probes_for(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, recall: float) -> int:
+    """The fewest cells that hold the share ``recall`` of the true neighbours of a hash-drawn sample of queries.
+
+    References equal to the query, such as the query itself, are easy to find and don't count.
+    """
+    sample = queries.orderBy(F.xxhash64("query"), "query").limit(MEASURED).select("query", "z").persist()
+    true = nearest_blocked(sample, placed.select("ref", "z"), k + 1).where("distance > 1e-9")
+    found = true.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "ref"))).where(F.col("rank") <= k)
+    rows = found.join(placed.select("ref", "cell"), "ref").join(sample, "query").select("z", "cell").toPandas()
+    sample.unpersist()
+    if not len(rows):
+        return len(centres)
+    order = np.argsort(distances(np.stack(rows["z"].to_numpy()).astype(float), centres), 1, kind="stable")
+    rank = np.sort((order == rows["cell"].to_numpy()[:, None]).argmax(1))
+    return int(rank[max(0, math.ceil(recall * len(rank)) - 1)]) + 1
+
+
+def nearest_in_cells(queries: DataFrame, refs: DataFrame, k: int, probes: int | None = None, seed: int = 0, recall: float = 0.95) -> DataFrame:
+    """Approximate: k-means cells; each query looks at the ``probes`` cells whose centres are nearest.
+
+    Without ``probes``, as many as hold the share ``recall`` of true neighbours in a sample of the queries.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -139,13 +163,14 @@ def nearest_in_cells(queries: DataFrame, refs: DataFrame, k: int, probes: int =
         return nearest_joined(queries, refs, k)
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="__v", predictionCol="cell").fit(refs.withColumn("__v", array_to_vector("z")))
     centres = np.array(model.clusterCenters())
+    placed = model.transform(refs.withColumn("__v", array_to_vector("z"))).drop("__v")
+    if probes is None:
+        probes = probes_for(queries, placed, centres, k, recall)
 
     @F.pandas_udf("array<int>")
     def looked_at(z: pd.Series) -> pd.Series:
         return pd.Series(list(smallest(distances(np.stack(z.to_numpy()).astype(float), centres), probes)[0].astype("int32"))) if len(z) else pd.Series([], dtype=object)
 
-    placed = refs.withColumn("__v", array_to_vector("z"))
-    placed = model.transform(placed).drop("__v")
     return nearest_joined(queries.withColumn("cell", F.explode(looked_at("z"))), placed, k, by="cell")
 
 
