@@ -309,3 +309,10 @@ def test_cells_find_nine_tenths_of_the_neighbours(spark):
     d = knn.distances(z[::20], z)
     true = {(20 * k, int(r)) for k, row in enumerate(d) for r in np.argsort(row)[1:4]}
     assert len(true & found) >= 0.9 * len(true)
+
+
+def test_settings_that_the_plan_does_not_read_are_refused():
+    for text in ("detect.off_manifold=0.5", "detect.index.kind=cells", "detect.index.nprobe=4", "detect.index.tables=2", "signature_umap.dimension=2", "signature_umap.rows=10"):
+        with pytest.raises(ValueError, match="not built"):
+            config.check(config.merged({"signature": {"normalise": False}}, config.override(text)))
+    assert config.check(config.override("detect.off_manifold=null")) == config.check({})
