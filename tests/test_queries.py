@@ -60,3 +60,21 @@ def test_detector_queries_have_default_settings(spark, sf_dir, monkeypatch):
     for c in used:
         assert all(c[x] == config.DEFAULTS[x] for x in ("window", "signature", "metric", "calibrate"))
         assert c["detect"]["forest"] == config.DEFAULTS["detect"]["forest"] and c["detect"]["sig_tol"] == config.DEFAULTS["detect"]["sig_tol"]
+
+
+def test_matrix_profile_of_all_streams_by_brute_force(spark, sf_dir):
+    import numpy as np
+
+    points = Q.events(spark, sf_dir).toPandas().sort_values(["stream", "pos"])
+    want = {}
+    for stream, g in points.groupby("stream"):
+        x = g["x1"].to_numpy(float)
+        runs = np.lib.stride_tricks.sliding_window_view(x, 8)
+        z = (runs - runs.mean(1, keepdims=True)) / runs.std(1, keepdims=True)
+        d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+        at = np.arange(len(z))
+        d[abs(at[:, None] - at[None]) <= 2] = np.inf
+        want |= {(stream, k + 7): v for k, v in enumerate(d.min(1))}
+    for name in ("matrix_profile_whole", "matrix_profile_joined_whole"):
+        found = {(r["stream"], r["pos"]): r["profile"] for r in Q.QUERIES[name](spark, sf_dir).collect() if r["profile"] is not None}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-3 for k in want)

@@ -224,6 +224,18 @@ def matrix_profile(spark, d):
     return rounded(transforms.matrix_profile(events(spark, d).where("stream % 10 = 3"), ["x1"], 8), 3, "profile")
 
 
+@query()
+def matrix_profile_joined_whole(spark, d):
+    """All streams; matrix_profile_joined and its SQL are a tenth of them."""
+    return rounded(transforms.matrix_profile_joined(events(spark, d), "x1", 8), 3, "profile")
+
+
+@query()
+def matrix_profile_whole(spark, d):
+    """All streams; matrix_profile and its SQL are a tenth of them."""
+    return rounded(transforms.matrix_profile(events(spark, d), ["x1"], 8), 3, "profile")
+
+
 # Windows and intervals
 
 
