@@ -78,3 +78,20 @@ def test_matrix_profile_of_all_streams_by_brute_force(spark, sf_dir):
     for name in ("matrix_profile_whole", "matrix_profile_joined_whole"):
         found = {(r["stream"], r["pos"]): r["profile"] for r in Q.QUERIES[name](spark, sf_dir).collect() if r["profile"] is not None}
         assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_all_grid_intervals_are_calibrated_by_brute_force(spark, sf_dir):
+    import numpy as np
+
+    sigs = Q.corpus(spark, sf_dir).toPandas()
+    x = np.stack(sigs["sig"].to_numpy())
+    z = (x - x.mean(0)) / np.where(x.std(0) == 0, 1, x.std(0))
+    depth, fold = sigs["depth"].to_numpy(), sigs["stream"].str.split("_").str[0].astype(int).to_numpy() % 5
+    names = sigs["stream"] + ":" + sigs["lo"].astype(str) + ":" + sigs["hi"].astype(str)
+    found = {r["query"]: (r["depth"], r["distance"]) for r in Q.QUERIES["fold_distances_whole"](spark, sf_dir).collect()}
+    assert found.keys() == set(names)
+    for k in range(len(z)):
+        d = ((z - z[k]) ** 2).sum(1)[(fold != fold[k]) & (abs(depth - depth[k]) <= 1)]
+        assert found[names[k]][0] == depth[k] and abs(found[names[k]][1] - np.sort(d)[2]) < 1e-3
+    table = {r["depth"]: r["n_calibration"] for r in Q.QUERIES["calibrate_thresholds_whole"](spark, sf_dir).collect()}
+    assert table == dict(zip(*np.unique(depth, return_counts=True), strict=True)) and len(table) == 4

@@ -528,10 +528,11 @@ pairs AS (SELECT q.stream, q.depth, q.lo, q.hi, {SQUARED.format(a='q.z', b='r.z'
 dist AS (SELECT stream, depth, lo, hi, d AS distance FROM pairs WHERE rank = 3)"""
 
 
-def calibrated(spark, d):
-    """(query, depth, distance): z-scored grid intervals of half a window and more, to those of other users' folds."""
+def calibrated(spark, d, all_intervals: bool = False):
+    """(query, depth, distance): z-scored grid intervals, to those of other users' folds; only (0, 8), (8, 16) and (0, 16) unless all are asked for."""
     sigs = corpus(spark, d)
-    rows = normalise.apply(sigs, normalise.fit(sigs, "zscore")).where("lo % 8 = 0 and hi % 8 = 0")
+    rows = normalise.apply(sigs, normalise.fit(sigs, "zscore"))
+    rows = rows if all_intervals else rows.where("lo % 8 = 0 and hi % 8 = 0")
     fold = (streams.source_of(F.col("stream")).cast("long") % 5).cast("int")
     rows = rows.select(F.concat_ws(":", "stream", "lo", "hi").alias("query"), "depth", fold.alias("fold"), F.col("sig").alias("z"))
     return calibrate.fold_distances(rows, 3, 1)
@@ -550,6 +551,18 @@ def calibrate_thresholds(spark, d):
     return rounded(calibrate.thresholds(calibrated(spark, d)), 4, "threshold", "median_distance", "p90_distance", "p99_distance", "max_distance")
 
 
+@query()
+def fold_distances_whole(spark, d):
+    """All grid intervals; fold_distances and its SQL are three of a window."""
+    return rounded(calibrated(spark, d, True), 4, "distance")
+
+
+@query()
+def calibrate_thresholds_whole(spark, d):
+    """All grid intervals; calibrate_thresholds and its SQL are three of a window."""
+    return rounded(calibrate.thresholds(calibrated(spark, d, True)), 4, "threshold", "median_distance", "p90_distance", "p99_distance", "max_distance")
+
+
 @query(f"""WITH {VECTORS}, pairs AS (SELECT q.id, q.label, min({SQUARED.format(a='q.z', b='r.z')}) AS d FROM vectors q JOIN vectors r ON q.id <> r.id AND abs(q.label - r.label) <= 1 GROUP BY 1, 2)
 SELECT label AS depth, count(*) AS n, round(quantile_cont(d, 0.5), 4) AS median, round(quantile_cont(d, 0.9), 4) AS p90, round(quantile_cont(d, 0.99), 4) AS p99, round(max(d), 4) AS max FROM pairs GROUP BY label""")
 def score_distribution(spark, d):
