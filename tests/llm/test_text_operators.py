@@ -7,7 +7,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -193,22 +196,89 @@ def test_rules_by_brute_force(spark):
 
 def test_wavelet_matrix():
     ids = np.random.default_rng(2).integers(0, 50, 3000).astype(np.uint16)
-    w = token_store.unpack(token_store.pack(token_store.WaveletMatrix.build(ids, 6)))
-    assert (w.decode() == ids).all() and all(w.access(i) == ids[i] for i in (0, 17, 2999))
-    assert w.rank(7, 1000) == (ids[:1000] == 7).sum() and w.rank(63, 3000) == 0 and w.rank(64, 10) == 0
-    assert (w.occurrences(7) == np.flatnonzero(ids == 7)).all() and w.select(7, 10**6) == -1
-    assert len(token_store.unpack(token_store.pack(token_store.WaveletMatrix.build(ids[:0], 6))).decode()) == 0
+    for block in (64, 1 << 16):
+        w = token_store.unpack(token_store.pack(ids, 6, block))
+        assert (w.decode() == ids).all() and all(w.access(i) == ids[i] for i in (0, 17, 2047, 2999))
+        for value in (0, 7, 49):
+            at = np.flatnonzero(ids == value)
+            assert (w.occurrences(value) == at).all() and [w.select(value, k) for k in (0, 5, len(at) - 1)] == [at[0], at[5], at[-1]]
+            assert [w.rank(value, end) for end in (0, 1, 63, 64, 1000, 3000)] == [(ids[:end] == value).sum() for end in (0, 1, 63, 64, 1000, 3000)]
+            assert w.select(value, len(at)) == w.select(value, -1) == -1
+        assert w.rank(63, 3000) == w.rank(64, 10) == 0 and w.select(64, 0) == -1 and not len(w.occurrences(63))
+    wide = np.random.default_rng(3).integers(0, 1 << 20, 500).astype(np.uint32)
+    assert (token_store.unpack(token_store.pack(wide, 20, 128)).decode() == wide).all()
+    empty = token_store.unpack(token_store.pack(ids[:0], 6))
+    assert len(empty.decode()) == empty.rank(3, 5) == 0 and empty.select(3, 0) == -1
     with pytest.raises(ValueError):
         token_store.unpack(b"none")
 
 
-def test_pieces_are_encoded_as_wholes():
+def test_rank_and_select_inflate_few_blocks():
+    ids = np.random.default_rng(5).integers(0, 1 << 16, 200_000).astype(np.uint16)
+    record = token_store.pack(ids, 16, 1 << 12)
+    for ask, most in ((lambda w: w.access(123_456), 16), (lambda w: w.rank(int(ids[9]), 150_000), 32), (lambda w: w.select(int(ids[9]), 0), 48)):
+        w = token_store.unpack(record)
+        ask(w)
+        assert 0 < w.inflated <= most < w.blocks * w.bits
+
+
+def encoded(enc, texts):
+    ids, counts = enc.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+@pytest.fixture(scope="module")
+def bpe():
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
-    whole, enc = Tokenizer.from_file(path), token_store.Encoder(path)
+    return Tokenizer.from_file(path), token_store.Encoder(path)
+
+
+def test_pieces_are_encoded_as_wholes(bpe):
+    whole, enc = bpe
+    assert enc.cuts
     texts = ["", "  a  b", " x", "a\n \nb  ", "it's 's  'll\t\tfoo \n bar.. baz,,,", "a <|endoftext|> b", "x. \n\n y", "don't. we've!! \n", "1,000.50 3rd _a_", "a,b.c\nd,\ne. f", ",a .b", "x\x01y z", "a\u00a0b c", "\u0120x y", "a\u0301b \u0301c", "\U0001f44d x", "One two, three. Four\nFive six."] * 2
-    assert enc.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+    assert encoded(enc, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(enc, [None, "", "a"])[:2] == [[], []]
+
+
+BITS = [" ", "  ", "\n", "\t", "'", "'s", "'ll", "a", "B", "the", "\u00e9", "\u00d7", "\u00b2", "0", "12", ",", "...", "\u2009", "\u00a0", "\u3000", "\u201c", "\u0441\u043b", "\u6f22", "\U0001f642", "\x1c", "\x85", "<|endoftext|>", "\u200b", "\u180e", "_"]
+
+
+@given(st.lists(st.lists(st.sampled_from(BITS), max_size=12).map("".join) | st.text(max_size=8), min_size=1, max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_encoder_agrees_with_the_library(bpe, texts):
+    whole, enc = bpe
+    assert encoded(enc, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_forgets_late_pieces(bpe, monkeypatch):
+    monkeypatch.setattr(token_store.Encoder, "MOST", 6)
+    enc = token_store.Encoder(queries.tokenizer_path())
+    for texts in (["a b c", "d e"], ["f g h i j k l m n"], ["a b c d e f", "n m l"], ["x" * 70 + " a", ""]):
+        assert encoded(enc, texts) == [bpe[0].encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(enc._known) <= 6
+
+
+def test_other_tokenizers_encode_wholes():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    whole, enc = Tokenizer.from_file(path), token_store.Encoder(path)
+    texts = ["Some words,  and \n more.", "", "it's 3rd"]
+    assert not enc.cuts and encoded(enc, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_store_under_a_path(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (1 + i % 7)) for i in range(500)], "doc_id long, text string").repartition(7)
+    path = f"{tmp_path}/store"
+    kept = token_store.write_store(docs, queries.tokenizer_path(), path, tokens_per_shard=100, rows_per_part=40)
+    again = token_store.open_store(spark, path)
+    assert kept.count() == again.count() > 50
+    rows = token_store.read_store(again).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == list(range(500))
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:], strict=False))
 
 
 def test_store_round_trip(spark, odd, none):

@@ -92,14 +92,20 @@ def _rank(sorted_values: list[int], value: Column, strict: bool) -> Column:
     return F.when(head == 0, F.lit(0)).otherwise((head - 1) * step + fine)
 
 
-def range_buckets(df: DataFrame, key: str, tie: Column, rows_per_bucket: int = 4_000) -> Column:
-    """A bucket number that rises with (key, tie); null keys are in bucket -1.
+#: Buckets at most, of rows with a key and again of rows without one.
+MOST_BUCKETS = 40_000
 
-    Bounds are percentiles of the long column ``key`` (one row of at most 40,000 numbers comes to
-    the driver). A key that repeats over several bounds is divided by its tie, a 64-bit hash.
+
+def range_buckets(df: DataFrame, key: str, tie: Column, rows_per_bucket: int = 4_000) -> tuple[Column, int]:
+    """(a bucket number that rises with (key, tie), how many buckets there are); null keys come first, below 0.
+
+    Bounds are percentiles of the long column ``key`` (one row of at most MOST_BUCKETS numbers comes to
+    the driver). A key that repeats over several bounds, and null keys, are divided by their tie, a
+    64-bit hash. Only rows equal in key and tie, which are in no order, always share a bucket.
     """
-    n = df.select(key).count()
-    parts = max(1, min(40_000, math.ceil(n / rows_per_bucket)))
+    sizes = df.agg(F.count("*").alias("n"), F.count(key).alias("with_key")).first()
+    parts = max(1, min(MOST_BUCKETS, math.ceil(sizes["with_key"] / rows_per_bucket)))
+    nulls = min(MOST_BUCKETS, math.ceil((sizes["n"] - sizes["with_key"]) / rows_per_bucket))
     cuts: list[int] = []
     if parts > 1:
         probs = [i / parts for i in range(1, parts)]
@@ -110,8 +116,8 @@ def range_buckets(df: DataFrame, key: str, tie: Column, rows_per_bucket: int = 4
     high = _rank(cuts, F.col(key), False) if len(set(cuts)) < len(cuts) else low
     # The tie is signed, so its order as a number is that of its unsigned value with the top bit turned.
     turned = F.when(share >= 0.5, share - 0.5).otherwise(share + 0.5)
-    split = low + F.floor(turned * (high - low)).cast("int")
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(split if high is not low else low)
+    split = low + F.floor(turned * (high - low)).cast("int") if high is not low else low
+    return F.when(F.col(key).isNull(), F.floor(turned * nulls).cast("int") - nulls).otherwise(split), parts + nulls
 
 
 def with_next(df: DataFrame, key: str, tie: str, columns: list[str], rows_per_bucket: int = 4_000) -> DataFrame:
@@ -122,7 +128,7 @@ def with_next(df: DataFrame, key: str, tie: str, columns: list[str], rows_per_bu
     rows of numbers, come to the driver.
     """
     spark = df.sparkSession
-    dealt = df.withColumn("__bucket", range_buckets(df, key, F.col(tie), rows_per_bucket))
+    dealt = df.withColumn("__bucket", range_buckets(df, key, F.col(tie), rows_per_bucket)[0])
     firsts = dealt.groupBy("__bucket").agg(F.max(F.struct(F.col(key).alias("k"), F.col(tie).alias("t"))).alias("h")).collect()
     firsts.sort(key=lambda r: -r["__bucket"])
     # The row after the end of bucket i is the first of bucket i + 1; after the last bucket, of the first.
