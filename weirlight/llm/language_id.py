@@ -9,14 +9,17 @@ exp(-loss) over all codewords, and a text is ambiguous where the runner-up is to
 Codewords are all ways to halve the languages while these are at most ``MAX_BITS``, else columns drawn
 from a fixed generator that keeps the least distance between codewords largest.
 
+Letters are the code points of Unicode's categories L; marks (M) beside them belong to their words.
+
 Cases: null texts and texts without a letter are ``und`` with score 0. Texts of any length count whole.
 Equal texts have equal results. With one language known, it is the prediction for every text with a
-letter; with none, ``und``. Rows of null lang or null id are not learned from.
+letter; with none, ``und``. Rows of null lang or null id are not learned from. A column of the name ``out`` is
+replaced; other columns stay as they are.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,17 +33,36 @@ from ._shared import small_batches
 from ._words import code_points, mix
 
 DIM, MAX_BITS, UNDETERMINED = 4096, 31, "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _U = np.uint64
 _STEP = 1 << 20
 
 
+_kinds: list[np.ndarray] = []
+
+
+def letter_runs(text: str | None) -> np.ndarray | None:
+    """The code points of a text's words in lower case, with a space before, between and after; None if no letter."""
+    if not text:
+        return None
+    if not _kinds:
+        _kinds.append(np.array([{"L": 1, "M": 2}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.uint8))
+    points = code_points(f" {text.lower()} ")
+    kind = _kinds[0][points]
+    if not (kind == 1).any():
+        return None
+    inside = kind > 0
+    # Of what is between words, the first place is kept as the space.
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]
+    runs = np.where(inside, points, 32)[kept]
+    return np.r_[32, runs].astype(_U)
+
+
 def ngram_rates(text: str | None) -> np.ndarray | None:
     """Square roots of the rates of hashed runs of 1, 2 and 3 letters (words have a space around them); None if no letter."""
-    letters = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not letters:
+    points = letter_runs(text)
+    if points is None:
         return None
-    points = code_points(f" {letters} ").astype(_U)
     counts = np.zeros(DIM)
     for at in range(0, len(points), _STEP):
         run = points[max(0, at - 2) : at + _STEP]
