@@ -10,7 +10,8 @@ of a bad one start as bad and are then labelled by the field itself, with at lea
 
 Cases: null and empty texts have no line and score 0.0 as bad documents. Lines are split at ``\\n``;
 lines of white space only have no weight. Texts of any length are read whole. Equal texts have equal
-scores. Without labelled documents of both classes every text with a word scores 1.
+scores. Without labelled documents of both classes every text with a word scores 1. A column of the
+name ``out`` is replaced; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         per_line(points > 0x24F) / some,
         np.log1p(size) / 5,
         np.log1p(n_words) / 5,
-        size / some_words / 10,
+        np.minimum(size / some_words / 10, 100),
         np.minimum(1 - distinct / some_words, 1) * (n_words >= 8),
         n_words == 0,
         (n_words > 0) & (n_words <= 3),
@@ -253,7 +254,7 @@ def fit_lines(lines, labels: np.ndarray, rounds: int = 60, ridge: float = 1e-4)
 def fit(docs: DataFrame, labels: DataFrame, k: int = 3, left_out: int = 1, per_class: int = 1500) -> Model | None:
     """Learn from at most about per_class labelled documents of each class, outside the fold left out.
 
-    Line features are taken on the executors and come to the driver as 16-bit numbers.
+    Line features are taken on the executors; they are all that comes to the driver.
     """
     small_batches(docs.sparkSession)
     drawn = sample(docs, labels, "quality", per_class, k, left_out)
@@ -261,11 +262,11 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 3, left_out: int = 1, per_c
     @F.pandas_udf(T.StructType([T.StructField("x", T.BinaryType()), T.StructField("size", T.BinaryType())]))
     def featured(texts: pd.Series) -> pd.DataFrame:
         found = [line_features(t) for t in texts]
-        return pd.DataFrame({"x": [x.astype(np.float16).tobytes() for x, _ in found], "size": [s.astype(np.float32).tobytes() for _, s in found]})
+        return pd.DataFrame({"x": [x.tobytes() for x, _ in found], "size": [s.astype(np.float32).tobytes() for _, s in found]})
 
     rows = drawn.select("doc_id", "label", featured("text").alias("f")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["f"]["x"]))
-    lines = [(np.frombuffer(r["f"]["x"], np.float16).astype(np.float32).reshape(-1, N_FEATURES), np.frombuffer(r["f"]["size"], np.float32).astype(float)) for r in rows]
+    lines = [(np.frombuffer(r["f"]["x"], np.float32).reshape(-1, N_FEATURES), np.frombuffer(r["f"]["size"], np.float32).astype(float)) for r in rows]
     return fit_lines(lines, np.array([int(r["label"]) for r in rows])) if rows else None
 
 
