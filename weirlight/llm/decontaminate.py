@@ -9,12 +9,17 @@ makes them, count together. A document is
 contaminated by an item of which it has ``least_words`` words in such runs, or the share ``share`` of
 the item where that is less.
 
-The benchmark is indexed in blocks of ``block_words`` words at most, and each block goes over all
-documents; so an index is of bounded size however large the benchmark is.
+The hashes of both sides are joined. A benchmark of ``most_spans`` span hashes or fewer is sent to all
+executors as one table of hashes, by which each document is looked up where it is read. A larger one is
+joined by a shuffle: documents' spans pass a bitmap of the benchmark's hashes of bounded size, are joined
+by hash, each hash dealt to ``SALTS`` tasks, and the diagonals found are verified with the texts of the
+document and the item beside them. Both ways have the same results.
 
 Cases: null and empty texts and items have no words and match nothing. Items with fewer words than a
 mask's span match only as a whole. Texts are searched whole. Equal items each match. Equal documents
-have equal results. Null item ids are not reported as ids, but their items count.
+have equal results. Null item ids are not reported as ids, but their items count. Item ids that are no
+whole numbers raise Spark's cast error. A column of the name ``out`` is replaced; other columns stay as
+they are.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import small_batches
+from ._shared import materialise, small_batches
 from ._words import code_points, mix, run_hashes
 
 _U = np.uint64
@@ -37,6 +42,8 @@ MASKS = ("110110110", "111011101", "101110011", "111100111")
 SPAN = 9
 #: Code points of documents that are searched at a time.
 TOGETHER = 1 << 19
+#: Tasks that the spans of one hash are dealt to, and bits of the bitmap of the benchmark's hashes: 8 MB.
+SALTS, BITMAP = 8, 26
 
 _WORD = np.array([unicodedata.category(chr(i))[0] in "LNM" or i == 95 for i in range(1 << 16)] + [True])
 _PLACE = mix(np.arange(1, SPAN + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -60,17 +67,35 @@ def span_hash(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
+def item_words(text: str | None) -> np.ndarray:
+    return hashed_words((text or "").lower())[0]
+
+
+def words_needed(n: int, least_words: int, share: float) -> int:
+    """How many words of an item of n words make it found."""
+    return min(least_words, math.ceil(share * n)) if n >= SPAN else n
+
+
+def masks_for(sizes) -> list[tuple[int, str]]:
+    """(salt, mask) of all masks that items of such numbers of words need: short items are matched as a whole."""
+    return [*enumerate(MASKS), *((len(MASKS) + n, "1" * n) for n in sorted({n for n in sizes if 0 < n < SPAN}))]
+
+
+def found_in(words: np.ndarray, item: np.ndarray, diagonals: list[int], need: int) -> tuple[int, int] | None:
+    """(words matched, first place) of an item along the diagonals and near them, None if they are fewer than needed."""
+    matched, start = together([r for d in diagonals for r in runs_along(words, item, d)])
+    return (matched, start) if matched >= need else None
+
+
 class Index:
-    """Span hashes of a block of benchmark items."""
+    """Span hashes of benchmark items."""
 
     def __init__(self, items: list[tuple[int | None, str]], least_words: int = 13, share: float = 0.6):
         self.ids = [i for i, _ in items]
-        self.words = [hashed_words((t or "").lower())[0] for _, t in items]
-        self.need = [min(least_words, math.ceil(share * len(w))) if len(w) >= SPAN else len(w) for w in self.words]
-        short = sorted({len(w) for w in self.words if 0 < len(w) < SPAN})
-        self.masks = [*MASKS, *("1" * n for n in short)]
+        self.words = [item_words(t) for _, t in items]
+        self.need = [words_needed(len(w), least_words, share) for w in self.words]
         self.tables = []
-        for salt, mask in enumerate(self.masks):
+        for salt, mask in masks_for(map(len, self.words)):
             whole = salt >= len(MASKS)
             rows = [(k, h) for k, w in enumerate(self.words) if (len(w) == len(mask) if whole else len(w) >= SPAN) for h in [span_hash(w, mask, salt)]]
             hashes = np.concatenate([h for _, h in rows]) if rows else np.zeros(0, _U)
@@ -123,11 +148,9 @@ class Index:
             if not len(rows):
                 continue
             d, k = int(rows[0, 0]), int(rows[0, 1])
-            item = self.words[k]
-            runs = [r for diagonal in rows[:, 2].tolist() for r in runs_along(words[bound[d] : bound[d + 1]], item, diagonal - int(bound[d]))]
-            matched, start = together(runs)
-            if matched >= self.need[k]:
-                out[first + d].append((self.ids[k], matched, len(item), start))
+            hit = found_in(words[bound[d] : bound[d + 1]], self.words[k], (rows[:, 2] - bound[d]).tolist(), self.need[k])
+            if hit:
+                out[first + d].append((self.ids[k], hit[0], len(self.words[k]), hit[1]))
 
 
 def runs_along(words: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[int, np.ndarray, int]]:
@@ -212,21 +235,89 @@ def searcher(index):
     return searched
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: Column | None = None, out: str = "hits", block_words: int = 200_000, least_words: int = 13, share: float = 0.6) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: Column | None = None, out: str = "hits", most_spans: int = 4_000_000, least_words: int = 13, share: float = 0.6) -> DataFrame:
     """docs with an array column ``out`` of (item_id, matched, item_words, first_word), empty for clean ones."""
     spark = docs.sparkSession
     small_batches(spark)
-    words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("text") != "")
-    total = items.agg(F.sum(words)).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_words))
-    column = F.lit(None).cast(HITS)
+    # A word takes one code point at least, and another parts it from the next.
+    spans = len(MASKS) * (items.agg(F.sum(F.ceil(F.length("text") / 2))).first()[0] or 0)
     text = F.col("text") if text is None else text
-    for k in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if total else []
-        mine.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine], least_words, share))
-
-        found = searcher(index)(text)
-        column = found if k == 0 else F.concat(column, found)
-    return docs.withColumn(out, column)
+    if spans > most_spans:
+        return _by_shuffle(docs, items, text, out, least_words, share)
+    rows = sorted(((r["item_id"], r["text"]) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    index = spark.sparkContext.broadcast(Index(rows, least_words, share))
+    return docs.withColumn(out, F.array_sort(searcher(index)(text)))
+
+
+def _spans(words: np.ndarray, masks: list[tuple[int, str]], whole: bool):
+    """(hashes, places) of the spans of an item, or with ``whole`` of a document, for each mask that is due."""
+    for salt, mask in masks:
+        if whole or (len(words) >= SPAN if salt < len(MASKS) else len(words) == len(mask)):
+            h = span_hash(words, mask, salt)
+            yield h, np.arange(len(h))
+
+
+def _by_shuffle(docs: DataFrame, items: DataFrame, text: Column, out: str, least_words: int, share: float) -> DataFrame:
+    """contamination by a join of span hashes, for benchmarks of any size."""
+    spark = docs.sparkSession
+    items = materialise(items.withColumn("item", F.monotonically_increasing_id()), "benchmark")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()]).alias("kept")
+    table = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), text.alias("text"), whole), "texts")
+
+    @F.pandas_udf("int")
+    def size(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(item_words(t)))
+
+    short = [r[0] for r in items.select(size("text").alias("n")).where(F.col("n") < SPAN).distinct().collect()]
+    masks = masks_for(short)
+
+    def of_items(batches):
+        for b in batches:
+            parts = [(h, np.full(len(h), item), place) for item, t in zip(b["item"], b["text"], strict=True) for h, place in _spans(item_words(t), masks, False)]
+            if parts:
+                h, item, place = map(np.concatenate, zip(*parts, strict=True))
+                yield pd.DataFrame({"h": h.view(np.int64), "item": item, "place": place})
+
+    spans = materialise(items.mapInPandas(of_items, "h long, item long, place long"), "benchmark-spans")
+    # One bit for each hash's top bits: 2**(BITMAP - 6) numbers at most come to the driver.
+    top = F.shiftrightunsigned("h", 64 - BITMAP)
+    bits = spans.select(F.shiftright(top, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITMAP}) & 63L as int))").alias("mask"))
+    rows = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    bitmap = np.zeros(1 << (BITMAP - 6), _U)
+    bitmap[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(_U)
+    known = spark.sparkContext.broadcast(bitmap)
+
+    def of_documents(batches):
+        for b in batches:
+            parts = []
+            for uid, t in zip(b["uid"], b["text"], strict=True):
+                for h, place in _spans(item_words(t), masks, True):
+                    top = h >> _U(64 - BITMAP)
+                    on = (known.value[top >> _U(6)] >> (top & _U(63))) & _U(1) == 1
+                    if on.any():
+                        parts.append((h[on], np.full(int(on.sum()), uid), place[on]))
+            if parts:
+                h, uid, at = map(np.concatenate, zip(*parts, strict=True))
+                yield pd.DataFrame({"h": h.view(np.int64), "uid": uid, "at": at})
+
+    probes = table.select("uid", "text").mapInPandas(of_documents, "h long, uid long, at long").withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int"))
+    sides = spans.withColumn("salt", F.explode(F.lit(list(range(SALTS)))))
+    met = probes.join(sides, ["h", "salt"]).groupBy("uid", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
+    pairs = met.join(items.withColumnRenamed("text", "item_text"), "item").join(table.select("uid", "text"), "uid")
+
+    def verified(batches):
+        for b in batches:
+            rows = []
+            for uid, item_id, a, t, diagonals in zip(b["uid"], b["item_id"], b["item_text"], b["text"], b["diagonals"], strict=True):
+                item = item_words(a)
+                hit = found_in(item_words(t), item, sorted(int(d) for d in diagonals), words_needed(len(item), least_words, share))
+                if hit:
+                    rows.append((uid, None if pd.isna(item_id) else int(item_id), hit[0], len(item), hit[1]))
+            uid, ids, matched, n, first = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pd.DataFrame({"uid": np.array(uid, np.int64), "item_id": pd.array(ids, "Int64"), "matched": np.array(matched, np.int32), "item_words": np.array(n, np.int32), "first_word": np.array(first, np.int32)})
+
+    found = pairs.mapInPandas(verified, "uid long, item_id long, matched int, item_words int, first_word int")
+    hits = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("item_id", "matched", "item_words", "first_word"))).alias("hits"))
+    joined = table.select("uid", "kept").join(hits, "uid", "left")
+    return joined.select("kept.*", F.coalesce("hits", F.array().cast(HITS)).alias(out))

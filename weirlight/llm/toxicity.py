@@ -10,7 +10,8 @@ of the text (the length norm) make the score by a logistic curve.
 
 Cases: null and empty texts, and texts without a hit, have a score under 0.5. Very long texts are
 matched whole. Equal texts have equal scores. Without labelled documents of both classes every score
-is 0. Labels of null ids or null values are not used.
+is 0. Labels of null ids or null values are not used. A column of the name ``out`` is replaced; other
+columns stay as they are.
 """
 
 from __future__ import annotations
