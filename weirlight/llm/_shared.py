@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +20,32 @@ WORD_SPACE = "\t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``, or an own one where that is unset."""
+    """The folder all machines share: ``spark.checkpoint.dir``, or an own one where that is unset and one machine does all."""
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = f"file://{tempfile.mkdtemp(prefix='weirlight-')}"
     return _own_dir
 
 
-#: Paths of the tables that materialise has written and discard hasn't deleted, in order.
-_written: list[str] = []
+_scopes = threading.local()
+
+
+@contextmanager
+def working_tables():
+    """A list that gets the paths of the tables that materialise writes within, in this thread."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append(mine := [])
+    try:
+        yield mine
+    finally:
+        stack.pop()
+        if stack:
+            stack[-1].extend(mine)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -39,25 +56,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weirlight/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    for mine in _scopes.__dict__.get("stack", [])[-1:]:
+        mine.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.weirlight_path = path
     return table
 
 
 def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
-    """Delete materialised tables that nothing reads any more."""
+    """Delete materialised tables that nothing reads any more; other tables are left alone."""
+    ours = f"{shared_dir(spark)}/weirlight/"
     for table in tables:
         path = table if isinstance(table, str) else getattr(table, "weirlight_path", None)
-        if path in _written:
-            _written.remove(path)
+        if path and path.startswith(ours):
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def written() -> list[str]:
-    """Paths of the tables that exist now."""
-    return list(_written)
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -67,6 +88,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """Give a Python worker's freed memory back to the machine, where its libraries can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once (a lambda variable stands for it)."""
     return F.transform(F.array(value), body)[0]

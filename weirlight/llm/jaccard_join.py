@@ -4,48 +4,54 @@ Texts are sets of hashed shingles. Sets that are equal are one node. A node's si
 MinHash values; a value at a slot is a shared token, sampled with probability equal to the Jaccard
 similarity. A path is a sequence of (slot, value); the slots that continue a path are chosen by a hash
 of the path alone, each with probability 1 / (similarity x SLOTS) and one at least, so that a pair at
-the sought similarity is expected to stay together on one path at every depth. ``RUNS`` roots repeat
-this independently: a pair at similarity 0.8 misses all roots with probability 0.2**RUNS at most.
-
-1. Nodes that share a path make a bucket. Small buckets are compared whole, by signatures. In a large
-   one, each of a few pivots takes the nodes whose signature is near to its own: the near ones are in
-   its component, and the very near ones leave the bucket, because by the triangle inequality of
-   the distance of signatures all their partners are near to the pivot too. What stays moves on to longer paths;
-   once no bucket has more than ``WHOLE`` nodes, or after ``DEPTH`` steps, large ones too are compared
-   whole, in blocks.
+the sought similarity has on average more than one path in common at every depth: it keeps one for
+ever with probability ``1 - lost_in_a_run(similarity)``, 0.54 at 0.8. Runs repeat this from other
+roots, as many as ``target_recall`` takes (``runs_for``).
+
+1. Nodes that share a path make a bucket. Buckets of ``SMALL`` nodes or fewer are compared whole, by
+   signatures. In a larger one, each of a few pivots takes the nodes whose signature is near to its own:
+   the near ones are in its component, and the very near ones leave the bucket, because by the triangle
+   inequality of the distance of signatures all their partners are near to the pivot too. What stays
+   is split by the tokens of the path's continuations, and so on, until all buckets are small. A bucket of
+   ``TASK`` nodes or fewer is split to its end in one task; a larger one is split by one step on the
+   cluster. A bucket whose nodes are in one component already has no more to find.
 2. Components of the links found are candidate groups, and in each group every pair of sets is compared
    exactly, in blocks of bounded size, by counts of shared shingles. Links are pairs of at least the
    similarity; classes are the components of these.
 
-So similarity is exact; the candidates are found with a probability that the runs set, near 1. Pairs
+So similarity is exact; candidates are found with the probability that ``target_recall`` states. Pairs
 are compared and counted inside tasks, and never become rows.
 
 Cases: null texts and texts without a word have no set: each is a class by itself, without links. Texts
 of fewer than ``n`` words have one shingle, all their words. Texts are compared whole. Equal sets are in
 one class; a class is named by the least doc_id in it (null ids count last). Repeated rows are rows of
-their own. An empty table has no classes. Columns to keep are carried along under their own names.
+their own. An empty table has no classes. Ids that are no whole numbers raise Spark's cast error.
+Columns to keep are carried along in a struct, so they may have any names.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, materialise, small_batches, written
+from ._shared import discard, materialise, small_batches, working_tables
 from ._words import mix, shingle_hashes, word_hashes
 from .components import components
 
 _U = np.uint64
-SLOTS, RUNS, SMALL, PIVOTS = 64, 16, 200, 4
-#: Paths grow while some bucket has more nodes than WHOLE, to DEPTH steps at most, and by one step at least.
-WHOLE, DEPTH = 20_000, 12
+SLOTS, SMALL, PIVOTS = 64, 200, 4
+#: Nodes of a bucket that one task splits to the end; their signatures take 256 bytes each.
+TASK = 50_000
 #: Signatures that agree on this share of slots or more are a candidate link.
 NEAR = 0.55
-#: The share from which a node leaves a pivot's bucket. A pair at similarity 0.8 differs in 0.2 of the slots,
-#: give or take 0.05, so what is this near to a pivot has its partners at NEAR to it or more.
-VERY_NEAR = 0.80
+#: The share from which a node leaves a pivot's bucket. What is this near to a pivot has its partners
+#: at a similarity of 0.7 or more to it, which is NEAR with a margin of 2.6 standard errors in each run.
+VERY_NEAR = 0.90
 #: Shingles in one side of a block of the exact comparison.
 BLOCK = 1_000_000
 
@@ -73,18 +79,46 @@ def chosen_slots(paths: np.ndarray, similarity: float) -> np.ndarray:
 def longer(paths: np.ndarray, signatures: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, path) of each path's continuations by that row's signature."""
     row, slot = np.nonzero(chosen_slots(paths, similarity))
-    return row, mix(paths[row] ^ mix((signatures[row, slot].astype(_U) << _U(8)) + slot.astype(_U) + _U(1)))
+    return row, _step(paths[row], signatures[row, slot], slot)
+
+
+def _step(paths: np.ndarray, values: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Paths with one more (slot, value) each."""
+    return mix(paths ^ mix((values.astype(_U) << _U(8)) + slots.astype(_U) + _U(1)))
+
+
+def lost_in_a_run(similarity: float) -> float:
+    """The probability that a pair at the similarity has no path in common at some depth of a run.
+
+    Each common path has k continuations, as chosen_slots draws them, and each of them is common with
+    the similarity as probability: the least fixed point of this branching process.
+    """
+    p = 1 / (similarity * SLOTS)
+    chance = [math.comb(SLOTS, k) * p**k * (1 - p) ** (SLOTS - k) for k in range(SLOTS + 1)]
+    chance[1] += chance[0]
+    lost = 0.0
+    for _ in range(200):
+        stays_lost = 1 - similarity + similarity * lost
+        lost = sum(c * stays_lost**k for k, c in enumerate(chance) if k)
+    return lost
+
+
+def runs_for(target_recall: float, similarity: float) -> int:
+    """How many runs miss a pair at the similarity with probability 1 - target_recall at most."""
+    if not 0 < target_recall < 1:
+        raise ValueError("target_recall is between 0 and 1")
+    return max(1, math.ceil(math.log(1 - target_recall) / math.log(lost_in_a_run(similarity)) - 1e-9))
 
 
-def _roots(similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    starts = mix(np.arange(1, RUNS + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
+def _roots(similarity: float, runs: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    starts = mix(np.arange(1, runs + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
     run, slot = np.nonzero(chosen_slots(starts, similarity))
     return starts[run], slot
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, keep: list[str], n: int, similarity: float) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, keep: list[str], n: int, similarity: float, runs: int) -> DataFrame:
     """docs with a row number, the set's hash, size, signature and first paths, written to the shared folder."""
-    starts, slots = _roots(similarity)
+    starts, slots = _roots(similarity, runs)
 
     @F.pandas_udf("set_a long, set_b long, size int, sig binary, paths array<long>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
@@ -95,7 +129,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, keep: list[str], n: in
                 rows.append((None, None, 0, None, None))
                 continue
             sig = signature(s)
-            paths = mix(starts ^ mix((sig[slots].astype(_U) << _U(8)) + slots.astype(_U) + _U(1)))
+            paths = _step(starts, sig[slots], slots)
             a, b = np.add.reduce(mix(s ^ _U(0x5851F42D4C957F2D))), np.bitwise_xor.reduce(mix(s + _U(0x14057B7EF767814F)))
             rows.append((int(a.view(np.int64)), int(b.view(np.int64)), len(s), sig.tobytes(), paths.view(np.int64)))
         a, b, size, sig, paths = zip(*rows, strict=True) if rows else ((),) * 5
@@ -138,18 +172,6 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(-1)
 
 
-def _whole(uids: np.ndarray, sigs: np.ndarray) -> pd.DataFrame:
-    """Star links of one bucket: all its pairs are compared, in blocks of rows."""
-    left, right = [], []
-    step = max(1, 4_000_000 // (SLOTS * len(uids)))
-    for at in range(0, len(uids), step):
-        near = _agree(sigs[at : at + step, None], sigs[None]) >= NEAR
-        i, j = np.nonzero(near)
-        left.append(i[i + at < j] + at)
-        right.append(j[i + at < j])
-    return _stars(uids, _labels(len(uids), np.concatenate(left), np.concatenate(right)))
-
-
 def _stars(uids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
     moved = label != np.arange(len(label))
     return pd.DataFrame({"a": uids[moved], "b": uids[label[moved]]})
@@ -172,48 +194,96 @@ def _by_key(batches, keys: list[str]):
         yield pd.concat(held)
 
 
-def _small_buckets(batches):
-    """Star links of buckets of at most SMALL nodes, those of equal size at a time."""
-    for frame in _by_key(batches, ["path"]):
-        if not len(frame):
+def _buckets(similarity: float):
+    """A kernel: star links of whole buckets, (path, uid, sig) in the order of path."""
+
+    def kernel(batches):
+        for frame in _by_key(batches, ["path"]):
+            if not len(frame):
+                continue
+            path, uid = frame["path"].to_numpy(), frame["uid"].to_numpy()
+            sig = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(-1, SLOTS)
+            at = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
+            size = np.diff(np.r_[at, len(path)])
+            # Small buckets, those of equal size at a time.
+            lefts, rights = [], []
+            for c in np.unique(size[(size > 1) & (size <= SMALL)]):
+                i, j = np.triu_indices(c, 1)
+                own = at[size == c]
+                for lo in range(0, len(own), max(1, 60_000 // len(i))):
+                    part = own[lo : lo + max(1, 60_000 // len(i)), None]
+                    left, right = (part + i).ravel(), (part + j).ravel()
+                    near = _agree(sig[left], sig[right]) >= NEAR
+                    lefts.append(left[near])
+                    rights.append(right[near])
+            if lefts:
+                yield _stars(uid, _labels(len(uid), np.concatenate(lefts), np.concatenate(rights))).drop_duplicates()
+            for lo, n in zip(at[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                rows = slice(lo, lo + n)
+                yield _stars(uid[rows], split_to_the_end(uid[rows], sig[rows], path[lo].view(_U), similarity))
+
+    return kernel
+
+
+def split_to_the_end(uids: np.ndarray, sigs: np.ndarray, path: np.uint64, similarity: float) -> np.ndarray:
+    """Of each node of a bucket, the least node of its component: the bucket is split by longer paths until all are small."""
+    root = np.arange(len(uids))
+
+    def roots(rows: np.ndarray) -> np.ndarray:
+        r = root[rows]
+        while (up := root[r]).tolist() != r.tolist():
+            r = up
+        root[rows] = r
+        return r
+
+    def join(rows: np.ndarray) -> None:
+        r = np.unique(roots(rows))
+        root[r] = r[0]
+
+    pending = [(path, np.arange(len(uids)))]
+    while pending:
+        path, rows = pending.pop()
+        r = roots(rows)
+        if (r == r[0]).all():
+            continue
+        sig = sigs[rows]
+        if len(rows) <= SMALL:
+            i, j = np.nonzero(np.triu(_agree(sig[:, None], sig[None]) >= NEAR, 1))
+            label = _labels(len(rows), i, j)
+            for first in np.unique(label[label != np.arange(len(rows))]):
+                join(rows[label == first])
             continue
-        path, uid = frame["path"].to_numpy(), frame["uid"].to_numpy()
-        sig = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(-1, SLOTS)
-        at = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
-        size = np.diff(np.r_[at, len(path)])
-        lefts, rights = [], []
-        for c in np.unique(size[size > 1]):
-            i, j = np.triu_indices(c, 1)
-            own = at[size == c]
-            for lo in range(0, len(own), max(1, 60_000 // len(i))):
-                part = own[lo : lo + max(1, 60_000 // len(i)), None]
-                left, right = (part + i).ravel(), (part + j).ravel()
-                near = _agree(sig[left], sig[right]) >= NEAR
-                lefts.append(left[near])
-                rights.append(right[near])
-        if lefts:
-            yield _stars(uid, _labels(len(uid), np.concatenate(lefts), np.concatenate(rights))).drop_duplicates()
+        draw = mix(uids[rows].view(_U) ^ path)
+        stay = np.ones(len(rows), bool)
+        for p in np.argsort(draw, kind="stable")[:PIVOTS]:
+            share = _agree(sig, sig[p])
+            join(rows[share >= NEAR])
+            stay &= share < VERY_NEAR
+        rows, sig = rows[stay], sig[stay]
+        for slot in np.flatnonzero(chosen_slots(np.array([path], _U), similarity)[0]):
+            value = sig[:, slot]
+            order = np.argsort(value, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(value[order]) != 0, True])
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo > 1:
+                    pending.append((_step(np.array([path], _U), value[order[lo : lo + 1]], np.array([slot]))[0], rows[order[lo:hi]]))
+    return roots(np.arange(len(uids)))
 
 
 def candidate_links(nodes: DataFrame, similarity: float) -> list[DataFrame]:
-    """Tables of (a, b): star links whose components hold every pair at the similarity."""
+    """Tables of (a, b): star links whose components hold every pair at the similarity that the runs find."""
     spark = nodes.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sigs = nodes.select("uid", "sig")
     rows = nodes.select("uid", F.explode("paths").alias("path"))
     found = []
-    for depth in range(DEPTH):
+    for depth in itertools.count():
         counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         live = materialise(rows.join(counts, "path").join(sigs, "uid"), "buckets")
-        small = live.where(F.col("n") <= SMALL).select("path", "uid", "sig")
-        ordered = small.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path")
-        found.append(materialise(ordered.mapInPandas(_small_buckets, "a long, b long"), "near"))
-        large = live.where(F.col("n") > SMALL)
-        largest = large.agg(F.max("n")).first()[0] or 0
-        if not largest:
-            return found
-        if depth and (largest <= WHOLE or depth == DEPTH - 1):
-            blocks = large.select("path", "uid", "sig", F.ceil(F.col("n") / 2000).alias("k")).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("k")))
-            found.append(_in_blocks(blocks, "path", "k").mapInPandas(_whole_blocks, "a long, b long"))
+        ordered = live.where(F.col("n") <= TASK).select("path", "uid", "sig").repartition(width, "path").sortWithinPartitions("path")
+        found.append(materialise(ordered.mapInPandas(_buckets(similarity), "a long, b long"), "near"))
+        large = live.where(F.col("n") > TASK)
+        if large.isEmpty():
             return found
         # Pivots: the nodes of least hash in each large bucket; there are few buckets for many rows.
         draw = F.struct(F.xxhash64("uid", F.lit(depth)).alias("draw"), "uid", "sig")
@@ -223,30 +293,33 @@ def candidate_links(nodes: DataFrame, similarity: float) -> list[DataFrame]:
 
         def peeled(batches):
             for b in batches:
+                if not len(b):
+                    continue
                 sig = np.frombuffer(b"".join(b["sig"]), np.uint32).reshape(-1, SLOTS)
                 uid, path = b["uid"].to_numpy(), b["path"].to_numpy().view(_U)
-                names = [x.tolist() if hasattr(x, "tolist") else list(x) for x in b["pivot_uids"]]
-                share = np.zeros((len(b), PIVOTS))
-                for r, values in enumerate(b["pivot_sigs"]):
-                    share[r, : len(values)] = _agree(sig[r], np.frombuffer(b"".join(values), np.uint32).reshape(-1, SLOTS))
+                count = np.array([len(x) for x in b["pivot_uids"]])
+                row = np.repeat(np.arange(len(b)), count)
+                name = np.concatenate([np.asarray(x, np.int64) for x in b["pivot_uids"]])
+                share = _agree(sig[row], np.frombuffer(b"".join(x for values in b["pivot_sigs"] for x in values), np.uint32).reshape(-1, SLOTS))
                 # A node has a link to its first near pivot; pivots that a node is near to are linked once.
-                near = share >= NEAR
-                stay = share.max(1) < VERY_NEAR
-                first = near.argmax(1)
-                linked = {(int(uid[r]), names[r][first[r]]) for r in np.flatnonzero(near.any(1))}
-                linked |= {(names[r][first[r]], names[r][k]) for r in np.flatnonzero(near.sum(1) > 1) for k in np.flatnonzero(near[r])}
-                a, z = (np.array(sorted(v for v in linked if v[0] != v[1]), np.int64).reshape(-1, 2).T)
-                row, path = longer(path[stay], sig[stay], similarity)
-                yield pd.DataFrame({"kind": 0, "x": np.array(a, np.int64), "y": np.array(z, np.int64)})
-                yield pd.DataFrame({"kind": 1, "x": uid[stay][row], "y": path.view(np.int64)})
+                near = np.flatnonzero(share >= NEAR)
+                at, first = np.unique(row[near], return_index=True)
+                anchor = np.zeros(len(b), np.int64)
+                anchor[at] = name[near[first]]
+                links = np.unique(np.r_[np.c_[uid[at], anchor[at]], np.c_[anchor[row[near]], name[near]]], axis=0)
+                links = links[links[:, 0] != links[:, 1]]
+                stay = np.ones(len(b), bool)
+                stay[row[share >= VERY_NEAR]] = False
+                kept, onward = longer(path[stay], sig[stay], similarity)
+                yield pd.DataFrame({"kind": 0, "x": links[:, 0], "y": links[:, 1]})
+                yield pd.DataFrame({"kind": 1, "x": uid[stay][kept], "y": onward.view(np.int64)})
 
         # Rows of a node stand together, so that a link that several of its paths find is made once.
         met = large.join(pivots, "path").select("path", "uid", "sig", "pivot_uids", "pivot_sigs")
-        met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid").sortWithinPartitions("uid")
+        met = met.repartition(width, "uid").sortWithinPartitions("uid")
         seen = materialise(met.mapInPandas(peeled, "kind int, x long, y long"), "peeled")
         found.append(seen.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
         rows = seen.where("kind = 1").select(F.col("x").alias("uid"), F.col("y").alias("path"))
-    return found
 
 
 def _in_blocks(rows: DataFrame, key: str, k: str) -> DataFrame:
@@ -257,12 +330,6 @@ def _in_blocks(rows: DataFrame, key: str, k: str) -> DataFrame:
     return paired.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
 
-def _whole_blocks(batches):
-    for frame in _by_key(batches, ["path", "lo", "hi"]):
-        for _, b in frame.groupby(["path", "lo", "hi"], sort=False):
-            yield _whole(b["uid"].to_numpy(), np.frombuffer(b"".join(b["sig"]), np.uint32).reshape(-1, SLOTS))
-
-
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of the sizes of intersections of all pairs of sorted sets, by products of blocks of columns."""
     size = [len(s) for s in sets]
@@ -318,18 +385,32 @@ def verified(groups: DataFrame, n: int, similarity: float) -> DataFrame:
     return _in_blocks(groups, "component", "k").mapInPandas(compare, "uid long, root long, links long, k long")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), n: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row for each row of docs: (id, class_id, n_links, first_of_class, *keep).
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), n: int = 5, similarity: float = 0.8, target_recall: float = 0.99999) -> DataFrame:
+    """One row for each row of docs: (id, class_id, n_links, first_of_class), and the columns to keep as the struct ``kept``.
 
     n_links is the number of other sets of shingles at the similarity or more; copies of one set count
-    once. first_of_class marks one row of each class.
+    once. first_of_class marks one row of each class. A pair at the similarity is found as a candidate
+    with a probability of target_recall at least, and a pair above it with a higher one.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
     # The text is carried once.
     carried = [c for c in keep if c != text_col]
-    table = sketches(docs, id_col, text_col, carried, n, similarity)
-    before = written()
+    table = sketches(docs, id_col, text_col, carried, n, similarity, runs_for(target_recall, similarity))
+    with working_tables() as mine:
+        classes = _classes(table, n, similarity)
+    # The result reads the sketches and the classes only.
+    discard(spark, *[path for path in mine if path != classes.weirlight_path])
+    in_class = table.where("size > 0").join(classes, ["set_a", "set_b"])
+    kept = [F.struct(*[(F.col("text") if c == text_col else F.col(f"kept.`{c}`")).alias(c) for c in keep]).alias("kept")] if keep else []
+    own = F.col("id").alias(id_col)
+    some = in_class.select(own, F.col("head.id").alias("class_id"), F.col("links").cast("long").alias("n_links"), (F.col("uid") == F.col("head.uid")).alias("first_of_class"), *kept)
+    alone = table.where("size = 0").select(own, F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first_of_class"), *kept)
+    return some.unionByName(alone)
+
+
+def _classes(table: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(set_a, set_b, links, head) of every set of the sketches."""
     # One node for each set: its least row number; the first row by id names it.
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid"))
     sets = materialise(table.where("size > 0").groupBy("set_a", "set_b").agg(F.min("uid").alias("uid"), first.alias("first")), "sets")
@@ -349,14 +430,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = roots.join(across.select(F.col("node").alias("uid"), "component"), "uid", "left").select("uid", F.coalesce("component", "root").alias("root"), "links")
     named = sets.join(roots, "uid", "left").select("set_a", "set_b", "first", F.coalesce("root", "uid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
-    classes = materialise(named.join(heads, "root").select("set_a", "set_b", "links", "head"), "classes")
-    # The result reads the sketches and the classes only.
-    discard(spark, *[path for path in written() if path not in before and path != classes.weirlight_path])
-    in_class = table.where("size > 0").join(classes, ["set_a", "set_b"])
-    kept = [(F.col("text") if c == text_col else F.col(f"kept.{c}")).alias(c) for c in keep]
-    some = in_class.select(F.col("id").alias(id_col) if id_col not in keep else F.col("id").alias("__id"), F.col("head.id").alias("class_id"), F.col("links").cast("long").alias("n_links"), (F.col("uid") == F.col("head.uid")).alias("first_of_class"), *kept)
-    alone = table.where("size = 0").select(F.col("id").alias(id_col) if id_col not in keep else F.col("id").alias("__id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first_of_class"), *kept)
-    return some.unionByName(alone).drop("__id")
+    return materialise(named.join(heads, "root").select("set_a", "set_b", "links", "head"), "classes")
 
 
 ORACLE_SQL = r"""
