@@ -68,9 +68,8 @@ def mix_documents(
     rows_per_bucket: int = 1_000,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, source, size, source_size, target, taken, *keep) for each row of docs.
-
-    ``keep`` columns of docs are carried along. The sizes are counted once and kept as a table in
+    """(id, source, size, source_size, target, taken) for each row of docs, and the columns to keep as the struct ``kept``.
+ The sizes are counted once and kept as a table in
     the shared folder, of which the sums and the sort read three times.
     """
     key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
@@ -110,7 +109,7 @@ def mix_documents(
             "source_size",
             "target",
             F.col("taken").cast("long").alias("taken"),
-            *([F.col(f"kept.{c}").alias(f"kept_{c}") for c in keep]),
+            *(["kept"] if keep else []),
         )
     )
 

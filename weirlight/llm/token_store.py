@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import materialise, range_buckets
+from ._shared import materialise, range_buckets, release
 
 MAGIC = b"WMX2"
 #: Bits of a plane that are compressed together.
@@ -458,14 +458,16 @@ def _shards(batches, enc: Encoder, end_id: int, tokens_per_shard: int):
         for i, (p, size) in enumerate(zip(parts.tolist(), sizes.tolist(), strict=True)):
             if (held or i > first) and (p != part or total >= tokens_per_shard):
                 if i > first:
-                    held.append((names[first:i], known[first:i], sizes[first:i], closed[at : ends[i - 1]]))
+                    held.append((names[first:i], known[first:i], sizes[first:i], closed[at : ends[i - 1]].copy()))
                 yield shard()
                 seq, before = (seq + 1, before + total) if p == part else (0, 0)
                 held, total, first, at = [], 0, i, int(ends[i - 1]) if i else 0
             part = p
             total += size
         if len(sizes) > first:
-            held.append((names[first:], known[first:], sizes[first:], closed[at:]))
+            held.append((names[first:], known[first:], sizes[first:], closed[at:].copy()))
+        del batch, ids, closed, own
+        release()
     if held:
         yield shard()
 
@@ -527,6 +529,8 @@ def read_store(store: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     [pa.array(names, pa.int64(), mask=~known), pa.array(start + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())],
                     names=["id", "start", "n_tokens", "ids_crc32"],
                 )
+                del data
+            release()
 
     # There are at most as many parts as range_buckets makes, so their starts can be sent to all executors.
     placed = store.join(F.broadcast(starts), "part").select("doc_ids", "has_id", "lengths", "planes", (F.col("part_start") + F.col("before")).alias("shard_start"))
