@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Null and empty texts go in the first stage, as bad documents. Rows that repeat are near
-duplicates of each other. Empty tables pass through all stages.
+duplicates of each other. Empty tables pass through all stages. Extra columns of docs, of whatever
+name, are carried along.
 """
 
 from __future__ import annotations
@@ -13,60 +14,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirlight.llm import decontaminate, jaccard_join, mixing, quality, token_store
-from weirlight.llm._shared import discard, materialise, written
+from weirlight.llm._shared import discard, fresh, materialise, working_tables
 from weirlight.llm.queries import tokenizer_path
 
+#: Working tables of calls of each stage whose results may still be unread, by the stage's place.
+_open: dict[int, list[list[str]]] = {}
 
-#: Working tables of the stage before: its result has been written when the next stage begins.
-_left_over: list[str] = []
 
+def stage(place: int):
+    """A stage called by itself, whose working tables go when the next stage begins.
 
-def stage(f):
-    """A stage that first deletes the working tables of the stage before it."""
+    The next stage gets what was written of the result, so the tables of the call before it are not read
+    any more. That call is known where there is only one; if there are several, their tables stay.
+    """
 
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, *_left_over)
-        _left_over.clear()
-        before = written()
-        out = f(spark, docs, sf_dir)
-        _left_over.extend(path for path in written() if path not in before)
-        return out
+    def wrap(f):
+        @functools.wraps(f)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            before = _open.get(place - 1, [])
+            if len(before) == 1:
+                discard(spark, *before.pop())
+            with working_tables() as mine:
+                out = f(spark, docs, sf_dir)
+            _open.setdefault(place, []).append(mine)
+            return out
 
-    return run_stage
+        run_stage.plain = f
+        return run_stage
 
+    return wrap
 
-@stage
+
+@stage(0)
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), 3, 1)
-    return quality.score_documents(docs, model, out="__quality").where(F.col("__quality.score") >= 0.5).drop("__quality")
+    out = fresh(docs, "quality")
+    return quality.score_documents(docs, model, out=out).where(F.col(f"{out}.score") >= 0.5).drop(out)
 
 
-@stage
+@stage(1)
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document by id of each near-duplicate class."""
     classes = jaccard_join.jaccard_classes(docs, keep=tuple(docs.columns))
-    return classes.where("first_of_class").select(*docs.columns)
+    return classes.where("first_of_class").select("kept.*")
 
 
-@stage
+@stage(2)
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="__hits")
-    return found.where(F.size("__hits") == 0).drop("__hits")
+    out = fresh(docs, "hits")
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=out)
+    return found.where(F.size(out) == 0).drop(out)
 
 
-@stage
+@stage(3)
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one at a source's cut comes whole."""
     taken = mixing.mix_documents(docs, keep=tuple(docs.columns))
     times = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    again = taken.where("taken > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), times)))
-    return again.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
+    again = taken.where("taken > 0").withColumn("time", F.explode(F.sequence(F.lit(1), times)))
+    return again.select("kept.*")
 
 
-@stage
+@stage(4)
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token store of the mix, read back."""
     return token_store.read_store(token_store.write_store(docs, tokenizer_path()))
@@ -85,8 +96,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result. Each stage's result is written, and its working tables and docs go then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, one in STAGES[:-1]:
-        before, docs = docs, materialise(one(spark, docs, sf_dir), "stage-" + name.split()[0])
-        discard(spark, before)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before = docs
+        with working_tables() as mine:
+            found = one.plain(spark, before, sf_dir)
+        docs = materialise(found, "stage-" + name.split()[0])
+        discard(spark, before, *mine)
+    return STAGES[-1][1].plain(spark, docs, sf_dir)
