@@ -1,6 +1,7 @@
 """Operators against hand-made cases and NumPy."""
 
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -311,8 +312,120 @@ def test_cells_find_nine_tenths_of_the_neighbours(spark):
     assert len(true & found) >= 0.9 * len(true)
 
 
-def test_settings_that_the_plan_does_not_read_are_refused():
-    for text in ("detect.off_manifold=0.5", "detect.index.kind=cells", "detect.index.nprobe=4", "detect.index.tables=2", "signature_umap.dimension=2", "signature_umap.rows=10"):
-        with pytest.raises(ValueError, match="not built"):
+def test_every_setting_is_read():
+    source = "".join(p.read_text() for p in Path(config.__file__).parent.rglob("*.py") if p.name != "config.py" and "llm" not in p.parts)
+
+    def leaves(part):
+        for key, value in part.items():
+            yield key
+            if isinstance(value, dict):
+                yield from leaves(value)
+
+    floors = Path(config.__file__).read_text().split("def floor")[1]
+    unread = [k for k in leaves(config.DEFAULTS) if f'["{k}"]' not in source + floors and f'.get("{k}"' not in source]
+    assert not unread
+
+
+def test_settings_of_indexes_are_checked():
+    for text in ("detect.index.kind=other", "detect.index.nprobe=0", "detect.index.tables=0", "detect.off_manifold=1.5", "signature_umap.dimension=0"):
+        with pytest.raises(ValueError):
             config.check(config.merged({"signature": {"normalise": False}}, config.override(text)))
     assert config.check(config.override("detect.off_manifold=null")) == config.check({})
+
+
+def plain_segments(lo, hi, clean, width, step_least):
+    """Clean blocks by the rule as stated: halves, left first; steps halve when they fail or leave the region."""
+
+    def longest(a, b):
+        if b - a < width:
+            return None
+        if clean(a, b):
+            return a, b
+        middle = (a + b) // 2
+        return None if b - a == 1 else longest(a, middle) or longest(middle, b)
+
+    if hi <= lo or (block := longest(lo, hi)) is None:
+        return []
+    a, b = block
+    for side in (-1, 1):
+        step = 1
+        while 2 * step <= max((b - a) // 2, 1):
+            step *= 2
+        step = max(step, step_least)
+        while step >= step_least:
+            x, y = (a - step, b) if side < 0 else (a, b + step)
+            if lo <= x and y <= hi and clean(x, y):
+                a, b = x, y
+            else:
+                step //= 2
+    return sorted([(a, b), *plain_segments(lo, a, clean, width, step_least), *plain_segments(b, hi, clean, width, step_least)])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(2, 30), st.integers(0, 2**31), st.sampled_from([1, 2, 4]), st.sampled_from([None, 1, 2, 4, 8]), st.floats(0.05, 0.95))
+def test_search_by_the_rule(n, seed, floor, step, share):
+    table = np.random.default_rng(seed).random((n, n)) < share
+    clean = lambda a, b: bool(table[a, b])
+    assert search.clean_blocks(0, n - 1, clean, floor, step) == plain_segments(0, n - 1, clean, floor, step or floor)
+
+
+def test_steps_over_the_limit_are_halved():
+    assert (5, 15) in search.clean_blocks(0, 16, lambda a, b: not a <= 3 <= b, 2)
+    assert search.widen(6, 8, 5, -1, lambda a, b: True, 2) == 6 and search.widen(6, 8, 5, -1, lambda a, b: True, 1) == 5
+    assert config.floor(config.check({"detect": {"tol": 1}})) == 4 and config.step_floor(config.check({"detect": {"tol": 1}})) == 2 and config.step_floor(config.check({})) == 4
+
+
+def test_blocks_of_neighbours_are_merged(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    data = [(f"r{i:03d}", [float(v) for v in rng.integers(-9, 9, 3)], int(rng.integers(0, 3)), int(rng.integers(0, 2))) for i in range(300)]
+    refs = spark.createDataFrame(data, "ref string, z array<double>, depth int, fold int").cache()
+    queries = refs.withColumnRenamed("ref", "query").where("query < 'r100'")
+    z, depth, fold = np.array([d[1] for d in data]), np.array([d[2] for d in data]), np.array([d[3] for d in data])
+    distance = ((z[:, None] - z[None]) ** 2).sum(-1)
+    for values, pairs in ((8_000_000, 10**9), (60, 500)):
+        monkeypatch.setattr(knn, "BLOCK_VALUES", values)
+        monkeypatch.setattr(knn, "TASK_PAIRS", pairs)
+        for options, allowed in (({}, np.ones((300, 300), bool)), ({"group": "depth", "fold": "fold"}, (depth[:, None] == depth) & (fold[:, None] != fold)), ({"skip_self": True}, ~np.eye(300, dtype=bool))):
+            found = {}
+            for r in knn.nearest_blocked(queries, refs, 2, **options).collect():
+                found.setdefault(r["query"], []).append((r["rank"], r["ref"], round(r["distance"], 9)))
+            for i in range(100):
+                order = sorted((round(distance[i, j], 9), data[j][0]) for j in range(300) if allowed[i, j])[:2]
+                assert sorted(found[data[i][0]]) == [(k + 1, name, d) for k, (d, name) in enumerate(order)]
+    assert knn.nearest_blocked(queries.limit(0), refs, 2).count() == knn.nearest_blocked(queries, refs.limit(0), 2).count() == 0
+
+
+def test_indexes_by_group_agree_with_exact_search(spark):
+    rng = np.random.default_rng(15)
+    data = [(i, [float(v) for v in rng.normal(size=6)], i % 2) for i in range(800)]
+    refs = spark.createDataFrame(data, "ref long, z array<double>, depth int").cache()
+    queries = refs.withColumnRenamed("ref", "query").where("query % 20 = 0")
+    exact = {(r["query"], r["ref"]) for r in knn.nearest("exact", queries, refs, 3, "depth").collect()}
+    assert len(exact) == 120
+    for kind in ("cells", "hashed"):
+        found = knn.nearest(kind, queries, refs, 3, "depth").collect()
+        assert len({(r["query"], r["ref"]) for r in found} & exact) / len(exact) >= 0.9
+        assert all(r["query"] % 2 == r["ref"] % 2 for r in found)
+    with pytest.raises(ValueError):
+        knn.nearest("other", queries, refs, 3)
+
+
+def test_folds_are_balanced_and_seeded(spark):
+    names = spark.createDataFrame([(f"s{i}_{w}",) for i in range(103) for w in (1, 2)], "stream string")
+    dealt = {r["stream"]: r["fold"] for r in calibrate.folds(names, 5, True, 1).collect()}
+    sizes = np.bincount([dealt[f"s{i}_1"] for i in range(103)])
+    assert sorted(sizes) == [20, 20, 21, 21, 21] and all(dealt[f"s{i}_1"] == dealt[f"s{i}_2"] for i in range(103))
+    assert dealt == {r["stream"]: r["fold"] for r in calibrate.folds(names, 5, True, 1).collect()}
+    assert dealt != {r["stream"]: r["fold"] for r in calibrate.folds(names, 5, True, 2).collect()}
+    few = spark.createDataFrame([("a", 0, 0, [1.0]), ("b", 0, 1, [2.0])], "query string, depth int, fold int, z array<double>")
+    assert calibrate.fold_distances(few, 1).count() == 2
+    with pytest.raises(Exception, match="fewer than 2 neighbours"):
+        calibrate.fold_distances(few, 2).collect()
+
+
+def test_forest_band_takes_in_near_depths(spark):
+    rng = np.random.default_rng(16)
+    data = [(i, i % 4, [float(v) for v in rng.normal(size=2)]) for i in range(400)]
+    df = spark.createDataFrame(data, "query long, depth int, z array<double>")
+    drawn = lambda band: {r["depth"]: r["m"] for r in forest.fit(df, 3, 1000, 0, band).groupBy("depth").agg(F.max("drawn").alias("m")).collect()}
+    assert drawn(0) == {d: 100 for d in range(4)} and drawn(1) == {0: 200, 1: 300, 2: 300, 3: 200}

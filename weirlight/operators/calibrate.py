@@ -36,11 +36,20 @@ def statistic_of(name: str, values: np.ndarray) -> float:
     return float(np.quantile(values, quantile(name)))
 
 
-def folds(streams: DataFrame, k: int, windowed: bool = False) -> DataFrame:
-    """(stream, fold): streams, or the sources of windows, in order, dealt in turn to k folds."""
-    name = source_of(F.col("stream").cast("string")) if windowed else F.col("stream")
+def folds(streams: DataFrame, k: int, windowed: bool = False, seed: int = 0) -> DataFrame:
+    """(stream, fold): streams, or the sources of windows, in the order of a seeded hash, dealt in turn to k folds.
+
+    Folds' sizes differ by one at most. Names are ranked within 4,096 parts of the hashes' range, and
+    after the parts before theirs.
+    """
+    name = source_of(F.col("stream").cast("string")) if windowed else F.col("stream").cast("string")
     names = streams.select("stream", name.alias("__name")).distinct()
-    order = names.select("__name").distinct().withColumn("fold", (F.dense_rank().over(Window.orderBy("__name")) - 1) % k)
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "__name"))
+    drawn = names.select("__name").distinct().withColumn("__draw", draw).withColumn("__bucket", F.conv(F.substring("__draw", 1, 3), 16, 10).cast("int"))
+    sizes = drawn.groupBy("__bucket").agg(F.count("*").alias("n"))
+    before = sizes.select("__bucket", (F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy("__draw", "__name")) - 1
+    order = drawn.join(before, "__bucket").select("__name", F.pmod(F.col("__before") + place, F.lit(k)).cast("int").alias("fold"))
     return names.join(order, "__name").select("stream", "fold")
 
 
@@ -56,11 +65,14 @@ def shuffled_folds(names: list[str], k: int, seed: int) -> dict[str, int]:
 def fold_distances(corpus: DataFrame, k: int = 3, band: int = 1) -> DataFrame:
     """(query, depth, distance): of each corpus row, the squared distance to its k-th neighbour in other folds within the band.
 
-    corpus: query, depth, fold, z. Rows with fewer than k such neighbours are not in the result.
+    corpus: query, depth, fold, z. A row with fewer than k such neighbours is an error.
     """
+    corpus = corpus.select("query", "depth", "fold", "z").persist()
     refs = knn.banded(corpus.select(F.col("query").alias("ref"), "depth", F.col("fold"), "z"), band).drop("depth").withColumnRenamed("probe", "depth")
     found = knn.nearest_blocked(corpus, refs, k, group="depth", fold="fold")
-    return found.where(F.col("rank") == k).select("query", "distance").join(corpus.select("query", "depth"), "query")
+    ranked = corpus.select("query", "depth").join(found.where(F.col("rank") == k).select("query", "distance"), "query", "left")
+    few = F.raise_error(F.concat(F.lit(f"fewer than {k} neighbours in other folds: "), F.col("query").cast("string")))
+    return ranked.select("query", F.when(F.col("distance").isNull(), few.cast("double")).otherwise(F.col("distance")).alias("distance"), "depth")
 
 
 def thresholds(distances: DataFrame, name: str = "p95") -> DataFrame:

@@ -238,3 +238,40 @@ def evaluate(points: DataFrame, score: str | None = None) -> dict[str, float]:
     if score and (rank := ranking(points, score).first()):
         out |= rank.asDict()
     return out
+
+
+def point_level(points: DataFrame) -> DataFrame:
+    """One row: prf over the covered points, plain (point_) and adjusted (adj_), and the share of points that is covered.
+
+    points: stream, pos, flag, label, covered. Points are adjusted over whole runs, covered or not.
+    """
+    adjusted = point_adjust(points).where("covered").select("label", "flag", "adjusted")
+    names = ("tp", "fp", "fn", "tn", "precision", "recall", "f1")
+    plain = prf(adjusted).select(*[F.col(c).alias(f"point_{c}") for c in names])
+    joined = prf(adjusted, flag="adjusted").select(*[F.col(c).alias(f"adj_{c}") for c in names])
+    share = points.agg(F.avg(F.col("covered").cast("double")).alias("covered_fraction"))
+    # One row each.
+    return plain.crossJoin(joined).crossJoin(share)
+
+
+def window_report(windows: DataFrame, score: str | None = None) -> DataFrame:
+    """One row of windows (flag, label[, score]): prf, rates, and of finite scores the median and the 5th and 95th percentile; with ranking."""
+    counts = prf(windows).crossJoin(
+        windows.agg(F.count("*").alias("n_windows"), F.avg(F.col("label").cast("double")).alias("positive_rate"), F.avg(F.col("flag").cast("double")).alias("flagged_rate"))
+    )
+    if score is None:
+        return counts
+    finite = windows.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
+    q = lambda p: F.percentile(score, F.lit(p))
+    spread = finite.agg(q(0.5).alias("score_median"), q(0.05).alias("score_p05"), q(0.95).alias("score_p95"))
+    return counts.crossJoin(spread).join(ranking(windows, score), how="left", on=F.lit(True))
+
+
+def detector_report(points: DataFrame, score: str | None = None) -> DataFrame:
+    """One row of a detector's points (stream, pos, flag, label[, score]): prf, adjusted prf, share flagged, anomaly rate, ranking."""
+    adjusted = point_adjust(points)
+    plain = prf(points).select("precision", "recall", "f1")
+    joined = prf(adjusted, flag="adjusted").select(*[F.col(c).alias(f"adj_{c}") for c in ("precision", "recall", "f1")])
+    shares = points.agg(F.avg(F.col("flag").cast("double")).alias("flagged"), F.avg(F.col("label").cast("double")).alias("anomaly_rate"))
+    out = plain.crossJoin(joined).crossJoin(shares)
+    return out if score is None else out.join(ranking(points, score), how="left", on=F.lit(True))

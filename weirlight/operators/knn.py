@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,23 +15,30 @@ from ..functions.vectors import squared_distance
 
 #: Distances that are computed at a time: 32 MB.
 SLICE = 4_000_000
-#: Numbers in one block of references: 64 MB of doubles.
+#: Numbers in one block of references or of queries: 64 MB of doubles.
 BLOCK_VALUES = 8_000_000
+#: Pairs that one task compares, about.
+TASK_PAIRS = 400_000_000
+#: Blocks of references that nearest_joined deals its queries to without a key.
+DEALT = 32
 
 
-def nearest_joined(queries: DataFrame, refs: DataFrame, k: int, by: str | None = None, apart: Column | None = None) -> DataFrame:
-    """(query, ref, distance, rank) by an equi-join on ``by`` (else all pairs of the stated queries) and a rank.
+def nearest_joined(queries: DataFrame, refs: DataFrame, k: int, by: str | list[str] | None = None, apart: Column | None = None) -> DataFrame:
+    """(query, ref, distance, rank) by an equi-join on ``by`` and a rank.
 
-    queries: query, z [, by]; refs: ref, z [, by]; distance is squared. ``apart`` is a further
-    condition on the pair, such as another fold. Ties go to the smaller ref.
+    queries: query, z [, by]; refs: ref, z [, by]; distance is squared. Without ``by``, each of the stated
+    queries meets all references, in DEALT blocks of them. ``apart`` is a further condition on the
+    pair, such as another fold. Ties go to the smaller ref.
     """
-    q, r = queries.withColumnRenamed("z", "__q"), refs.withColumnRenamed("z", "__r")
-    if by:
-        r = r.withColumnRenamed(by, f"__{by}")
-        on = F.col(by) == F.col(f"__{by}")
-    else:
-        on = F.lit(True)
-    pairs = q.join(r, on if apart is None else on & apart)
+    if not by:
+        queries = queries.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+        refs, by = refs.withColumn("__block", F.pmod(F.xxhash64("ref"), F.lit(DEALT)).cast("int")), "__block"
+    keys = [by] if isinstance(by, str) else list(by)
+    q, r = queries.withColumnRenamed("z", "__q"), refs.withColumnsRenamed({"z": "__r", **{c: f"__r_{c}" for c in keys}})
+    on = F.lit(True) if apart is None else apart
+    for c in keys:
+        on = on & (F.col(c) == F.col(f"__r_{c}"))
+    pairs = q.join(r, on)
     pairs = pairs.withColumn("distance", squared_distance(F.col("__q"), F.col("__r")))
     w = Window.partitionBy("query").orderBy("distance", "ref")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "ref", "distance", "rank")
@@ -75,54 +83,94 @@ def smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest_blocked(queries: DataFrame, refs: DataFrame, k: int, group: str | None = None, fold: str | None = None, skip_self: bool = False) -> DataFrame:
-    """(query, ref, distance, rank): the same as nearest_joined, for large sets.
-
-    References come to the executors in blocks of at most BLOCK_VALUES numbers, one pass over the
-    queries for each; the best k of all blocks are merged. With ``group`` (such as a band's depth) only
-    references of the query's group count; with ``fold`` only those of other folds; with ``skip_self``
-    not the reference of the same name.
+    """(query, ref, distance, rank): the same as nearest_joined, for large sets, by matrix products on the executors.
+
+    References and queries are dealt by hash to blocks of at most about BLOCK_VALUES numbers, and each
+    pair of blocks is one key of a shuffle, so a task holds one block of references and goes over one of
+    queries. There are as many blocks of queries as make about TASK_PAIRS pairs for a task. The best k of
+    all blocks are merged. With ``group`` (such as a band's depth) only references of the query's group
+    count; with ``fold`` only those of other folds; with ``skip_self`` not the reference of the same name.
+    Queries of a null group, and those with nothing to compare, have no rows. Both tables are read twice.
     """
     spark = queries.sparkSession
-    first = refs.agg(F.max(F.size("z")).alias("d"), F.count("*").alias("n")).first()
-    kind_q, kind_r = dict(queries.dtypes)["query"], dict(refs.dtypes)["ref"]
-    schema = f"query {kind_q}, ref {kind_r}, distance double"
-    blocks = max(1, math.ceil((first["n"] or 0) * (first["d"] or 1) / BLOCK_VALUES))
-    extra = [c for c in (group, fold) if c]
-    found = None
-    for b in range(blocks):
-        mine = refs.where(F.pmod(F.xxhash64("ref"), F.lit(blocks)) == b).select("ref", "z", *extra).toPandas().sort_values("ref", ignore_index=True)
-        if not len(mine):
-            continue
-        parts = {g: p.reset_index(drop=True) for g, p in mine.groupby(group)} if group else {None: mine}
-        held = spark.sparkContext.broadcast({g: (p["ref"].to_numpy(), np.stack(p["z"].to_numpy()).astype(float), p[fold].to_numpy() if fold else None) for g, p in parts.items()})
-
-        def search(batches, held=held):
-            for batch in batches:
-                for g, part in batch.groupby(group) if group else [(None, batch)]:
-                    if g not in held.value or not len(part):
-                        continue
-                    names, z, folds = held.value[g]
-                    own = part["query"].to_numpy()
-                    # Queries in slices, so that the matrix of distances stays small.
-                    for at in range(0, len(part), max(1, SLICE // len(z))):
-                        rows = slice(at, at + max(1, SLICE // len(z)))
-                        d = distances(np.stack(part["z"].iloc[rows].to_numpy()).astype(float), z)
-                        if fold:
-                            d[part[fold].to_numpy()[rows][:, None] == folds[None]] = np.inf
-                        if skip_self:
-                            d[own[rows][:, None] == names[None]] = np.inf
-                        column, value = smallest(d, k)
-                        ok = np.isfinite(value)
-                        yield pd.DataFrame({"query": np.repeat(own[rows], column.shape[1])[ok.ravel()], "ref": names[column.ravel()][ok.ravel()], "distance": value[ok]})
-
-        part = queries.select("query", "z", *extra).mapInPandas(search, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema + ", rank int")
+    kinds = {"query": queries.schema["query"].dataType, "ref": refs.schema["ref"].dataType}
+    own = lambda df: F.col(group).cast("string") if group else F.lit("")
+    f = F.xxhash64(fold) if fold else F.lit(0).cast("long")
+    q = queries.select(own(queries).alias("g"), "query", F.col("z").cast("array<double>").alias("z"), f.alias("f"))
+    r = refs.select(own(refs).alias("g"), "ref", F.col("z").cast("array<double>").alias("z"), f.alias("f"))
+    size = r.groupBy("g").agg(F.count("*").alias("nr"), F.max(F.size("z")).alias("d")).join(q.groupBy("g").agg(F.count("*").alias("nq")), "g")
+    r_blocks = F.ceil(F.col("nr") * F.col("d") / BLOCK_VALUES)
+    q_blocks = F.greatest(F.ceil(F.col("nq") * F.col("d") / BLOCK_VALUES), F.ceil(F.col("nq").cast("double") * F.col("nr") / r_blocks / TASK_PAIRS))
+    # A few numbers for each group.
+    size = size.select("g", r_blocks.cast("int").alias("br"), q_blocks.cast("int").alias("bq"))
+    none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+    mine = lambda name, n: F.pmod(F.xxhash64(F.lit("block"), name), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tables = (
+        r.join(size, "g").select("g", every("bq").alias("i"), mine("ref", "br").alias("j"), F.lit(0).alias("side"), none("query"), "ref", "z", "f"),
+        q.join(size, "g").select("g", mine("query", "bq").alias("i"), every("br").alias("j"), F.lit(1).alias("side"), "query", none("ref"), "z", "f"),
+    )
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tables[0].unionByName(tables[1]).repartition(width, "g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "ref")
+    keyed = dealt.select(F.concat_ws(":", "i", "j", "g").alias("key"), "side", "query", "ref", "z", "f")
+
+    def compare(batches):
+        key, held, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, sides = batch.column("key").to_numpy(zero_copy_only=False), batch.column("side").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (sides[1:] != sides[:-1])]).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(names)], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if names[lo] != key:
+                    key, held, block = names[lo], [], None
+                if sides[lo] == 0:
+                    held.append((part.column("ref"), _matrix(part.column("z")), part.column("f").to_numpy()))
+                elif held:
+                    if block is None:
+                        block = _Block([h[0] for h in held], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+                    yield from block.nearest(part.column("query"), _matrix(part.column("z")), part.column("f").to_numpy(), k, bool(fold), skip_self)
+
+    kind = lambda name: kinds[name].simpleString()
+    found = keyed.mapInArrow(compare, f"query {kind('query')}, ref {kind('ref')}, distance double")
     w = Window.partitionBy("query").orderBy("distance", "ref")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of equal length as one matrix."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1)
+
+
+class _Block:
+    """References of one key, in the order of their names."""
+
+    def __init__(self, names: list[pa.Array], z: np.ndarray, folds: np.ndarray):
+        self.names, self.z, self.folds = pa.concat_arrays(names), z, folds
+
+    def nearest(self, queries: pa.Array, z: np.ndarray, folds: np.ndarray, k: int, other_fold: bool, skip_self: bool):
+        """Batches of (query, ref, distance): the k nearest of each query, in slices, so that the matrix of distances stays small."""
+        if skip_self:
+            names = self.names.to_numpy(zero_copy_only=False)
+            asked = queries.to_numpy(zero_copy_only=False)
+            first, last = np.searchsorted(names, asked, "left"), np.searchsorted(names, asked, "right")
+        step = max(1, SLICE // len(self.z))
+        for at in range(0, len(z), step):
+            rows = slice(at, at + step)
+            d = distances(z[rows], self.z)
+            if other_fold:
+                d[folds[rows][:, None] == self.folds[None]] = np.inf
+            if skip_self:
+                for i in np.flatnonzero(first[rows] < last[rows]):
+                    d[i, first[at + i] : last[at + i]] = np.inf
+            column, value = smallest(d, k)
+            ok = np.isfinite(value).ravel()
+            row = np.repeat(np.arange(at, at + len(d)), column.shape[1])[ok]
+            yield pa.record_batch([queries.take(pa.array(row)), self.names.take(pa.array(column.ravel()[ok])), pa.array(value.ravel()[ok])], names=["query", "ref", "distance"])
+
+
 def cells_of(n: int) -> int:
     """How many cells an index of n references has; fewer than 2 mean exact search."""
     return max(1, min(int(4 * math.sqrt(n)), n // 39, n))
@@ -132,15 +180,15 @@ def cells_of(n: int) -> int:
 MEASURED = 256
 
 
-def probes_for(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, recall: float) -> int:
+def probes_for(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, recall: float, group: str | None = None) -> int:
     """The fewest cells that hold the share ``recall`` of the true neighbours of a hash-drawn sample of queries.
 
     References equal to the query, such as the query itself, are easy to find and don't count.
     """
-    sample = queries.orderBy(F.xxhash64("query"), "query").limit(MEASURED).select("query", "z").persist()
-    true = nearest_blocked(sample, placed.select("ref", "z"), k + 1).where("distance > 1e-9")
+    sample = queries.orderBy(F.xxhash64("query"), "query").limit(MEASURED).select("query", "z", *([group] if group else [])).persist()
+    true = nearest_blocked(sample, placed.select("ref", "z", *([group] if group else [])), k + 1, group).where("distance > 1e-9")
     found = true.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "ref"))).where(F.col("rank") <= k)
-    rows = found.join(placed.select("ref", "cell"), "ref").join(sample, "query").select("z", "cell").toPandas()
+    rows = found.join(placed.select("ref", "cell").distinct(), "ref").join(sample.select("query", "z"), "query").select("z", "cell").toPandas()
     sample.unpersist()
     if not len(rows):
         return len(centres)
@@ -149,10 +197,11 @@ def probes_for(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: in
     return int(rank[max(0, math.ceil(recall * len(rank)) - 1)]) + 1
 
 
-def nearest_in_cells(queries: DataFrame, refs: DataFrame, k: int, probes: int | None = None, seed: int = 0, recall: float = 0.95) -> DataFrame:
+def nearest_in_cells(queries: DataFrame, refs: DataFrame, k: int, probes: int | None = None, seed: int = 0, recall: float = 0.95, group: str | None = None) -> DataFrame:
     """Approximate: k-means cells; each query looks at the ``probes`` cells whose centres are nearest.
 
-    Without ``probes``, as many as hold the share ``recall`` of true neighbours in a sample of the queries.
+    Without ``probes``, as many as hold the share ``recall`` of true neighbours in a sample of the
+    queries. With ``group`` only references of the query's group count.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -160,32 +209,56 @@ def nearest_in_cells(queries: DataFrame, refs: DataFrame, k: int, probes: int |
     n = refs.count()
     cells = cells_of(n)
     if cells < 2:
-        return nearest_joined(queries, refs, k)
+        return nearest_blocked(queries, refs, k, group)
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="__v", predictionCol="cell").fit(refs.withColumn("__v", array_to_vector("z")))
     centres = np.array(model.clusterCenters())
     placed = model.transform(refs.withColumn("__v", array_to_vector("z"))).drop("__v")
     if probes is None:
-        probes = probes_for(queries, placed, centres, k, recall)
+        probes = probes_for(queries, placed, centres, k, recall, group)
+    probes = min(probes, cells)
 
     @F.pandas_udf("array<int>")
     def looked_at(z: pd.Series) -> pd.Series:
         return pd.Series(list(smallest(distances(np.stack(z.to_numpy()).astype(float), centres), probes)[0].astype("int32"))) if len(z) else pd.Series([], dtype=object)
 
-    return nearest_joined(queries.withColumn("cell", F.explode(looked_at("z"))), placed, k, by="cell")
+    return nearest_joined(queries.withColumn("cell", F.explode(looked_at("z"))), placed, k, by=["cell", *([group] if group else [])])
 
 
-def nearest_hashed(queries: DataFrame, refs: DataFrame, k: int, tables: int = 8, bucket: float = 2.0, reach: float = 1e9, seed: int = 0) -> DataFrame:
-    """Approximate: random projections in buckets; pairs that share a bucket are compared."""
+def nearest_hashed(queries: DataFrame, refs: DataFrame, k: int, tables: int = 8, bucket: float | None = None, reach: float = 1e9, seed: int = 0, group: str | None = None) -> DataFrame:
+    """Approximate: random projections in buckets; pairs that share a bucket in one of the tables are compared.
+
+    Without ``bucket``, its width is the root mean square of the references' numbers, times three. With
+    ``group`` only references of the query's group count.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
+    if bucket is None:
+        square = F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)
+        bucket = 3 * math.sqrt((refs.agg((F.sum(square) / F.sum(F.size("z"))).alias("v")).first()["v"]) or 1.0)
+    extra = [group] if group else []
+    vector = array_to_vector(F.col("z").cast("array<double>")).alias("v")
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=bucket, seed=seed)
-    q, r = queries.select("query", array_to_vector("z").alias("v")), refs.select("ref", array_to_vector("z").alias("v"))
-    pairs = lsh.fit(r).approxSimilarityJoin(q, r, reach, "d").select("datasetA.query", "datasetB.ref", (F.col("d") * F.col("d")).alias("distance"))
+    q, r = queries.select("query", vector, *extra), refs.select("ref", vector, *extra)
+    pairs = lsh.fit(r).approxSimilarityJoin(q, r, reach, "d")
+    if group:
+        pairs = pairs.where(F.col(f"datasetA.{group}") == F.col(f"datasetB.{group}"))
+    pairs = pairs.select("datasetA.query", "datasetB.ref", (F.col("d") * F.col("d")).alias("distance"))
     w = Window.partitionBy("query").orderBy("distance", "ref")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest(kind: str, queries: DataFrame, refs: DataFrame, k: int, group: str | None = None, nprobe: int | None = None, tables: int = 8) -> DataFrame:
+    """(query, ref, distance, rank) by the index of that kind: exact, cells or hashed."""
+    if kind == "exact":
+        return nearest_blocked(queries, refs, k, group)
+    if kind == "cells":
+        return nearest_in_cells(queries, refs, k, nprobe, group=group)
+    if kind == "hashed":
+        return nearest_hashed(queries, refs, k, tables, group=group)
+    raise ValueError(f"no index {kind!r}: exact, cells or hashed")
+
+
 def stratified(rows: DataFrame, key: str, fraction: float, seed: int = 0, by: str = "depth") -> DataFrame:
     """Of each depth, the rounded fraction of its rows, one at least, in the order of a hash of the key."""
     w = Window.partitionBy(by)
@@ -201,6 +274,22 @@ def score_distribution(found: DataFrame, depths: DataFrame) -> DataFrame:
     return d.groupBy("depth").agg(F.count("*").alias("n"), q(0.5).alias("median"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.max("distance").alias("max"))
 
 
+def leaves_span(pairs: DataFrame, subspace: np.ndarray, threshold: float, query: str = "raw", ref: str = "ref_raw") -> Column:
+    """Whether each row's difference of the arrays query and ref lies outside the corpus' span by more than the threshold."""
+
+    @F.pandas_udf("boolean")
+    def outside(q: pd.Series, r: pd.Series) -> pd.Series:
+        if not len(q):
+            return pd.Series([], dtype=bool)
+        known = r.notna() & q.notna()
+        out = pd.Series(False, index=q.index)
+        if known.any():
+            out[known] = off_manifold(np.stack(q[known].to_numpy()).astype(float), np.stack(r[known].to_numpy()).astype(float), subspace) > threshold
+        return out
+
+    return outside(query, ref)
+
+
 def off_manifold(query: np.ndarray, ref: np.ndarray, subspace: np.ndarray) -> np.ndarray:
     """The share of the difference of raw vectors that lies outside the corpus' span."""
     d = query - ref

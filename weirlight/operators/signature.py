@@ -181,13 +181,18 @@ def deep_signatures(streams: DataFrame, channels: Sequence[str], intervals: Data
     return streams.select("stream", "pos", *path).groupBy("stream").cogroup(intervals.groupBy("stream")).applyInPandas(kernel, schema)
 
 
+def of_intervals(streams: DataFrame, channels: Sequence[str], intervals: DataFrame, depth: int, short: bool = False) -> DataFrame:
+    """intervals with ``sig`` by the form that suits the depth; streams that are short, as windows are, by running sums."""
+    if depth > 2:
+        return deep_signatures(streams, channels, intervals, depth)
+    return prefix_signatures(streams, channels, intervals) if short and depth == 2 else signatures(streams, channels, intervals, depth)
+
+
 def corpus(streams: DataFrame, channels: Sequence[str], granularity: int = 3, depth: int = 2, fast: bool = False) -> DataFrame:
     """(stream, depth, lo, hi, n_cells, sig) of every grid interval of every stream that is long enough."""
     ready = usable_time(streams)
     intervals = grid(lengths(ready), granularity)
-    if depth > 2:
-        return deep_signatures(ready, channels, intervals, depth)
-    return prefix_signatures(ready, channels, intervals) if fast and depth == 2 else signatures(ready, channels, intervals, depth)
+    return of_intervals(ready, channels, intervals, depth, fast)
 
 
 def terms(sigs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ for each channel. A nested set has one row per stream, with arrays ``Time`` and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -157,6 +158,32 @@ def channel_spread(streams: DataFrame, channels: Sequence[str], target: str | No
     return streams.agg(*stats).select(rows.alias("r")).select("r.*")
 
 
+def top_channels(streams: DataFrame, channels: Sequence[str], n: int, target: str | None = None) -> DataFrame:
+    """The n channels that move most (population deviation), or that go most with a target; ties by name."""
+    spread = channel_spread(streams, channels, target)
+    by = F.col("std") if target is None else F.abs("corr")
+    return spread.orderBy(by.desc_nulls_last(), "channel").limit(n)
+
+
+def name_columns(df: DataFrame, time: str | int | None = None) -> tuple[DataFrame, str | None]:
+    """(df, name of its time column): columns that are called by number become Time and Variable_1, ...
+
+    ``time`` is a name where columns have names, else a position, which may count from the end.
+    """
+    if not all(re.fullmatch(r"-?\d+", c) for c in df.columns):
+        return df, time_column(df.columns, None if time is None else str(time))
+    at = None
+    if time is not None:
+        if not re.fullmatch(r"-?\d+", str(time)):
+            raise ValueError(f"the columns have no names, so {time!r} is none of them: give a position")
+        at = int(time)
+        if not -len(df.columns) <= at < len(df.columns):
+            raise ValueError(f"position {at} is outside {len(df.columns)} columns")
+        at %= len(df.columns)
+    others = iter(range(1, len(df.columns) + 1))
+    return df.toDF(*["Time" if i == at else f"Variable_{next(others)}" for i in range(len(df.columns))]), None if at is None else "Time"
+
+
 def remaining_life(streams: DataFrame, horizon: int, final: DataFrame | None = None) -> DataFrame:
     """rul (points to the stream's end, plus ``final.rul`` of streams that were cut short), degraded and healthy."""
     rul = F.max("pos").over(Window.partitionBy("stream")) - F.col("pos")

@@ -70,6 +70,20 @@ def reassemble(flags: DataFrame, flag: str = "flag") -> DataFrame:
     return kept.select(F.col("source").alias("stream"), (F.col("offset") + F.col("pos")).cast("int").alias("pos"), flag)
 
 
+def reassembled_counts(flags: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """(stream, n, n_anomalous_intervals, n_anomalous_points, anomalous_fraction[, max_score]) of sources.
+
+    flags: the points of sources, as reassemble gives them; scored: (source, max_score) of windows.
+    """
+    runs = segments(flags).groupBy("stream").agg(F.count("*").alias("n_anomalous_intervals"), F.sum(F.col("hi") - F.col("lo") + 1).alias("n_anomalous_points"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    out = flags.groupBy("stream").agg(F.count("*").alias("n")).join(runs, "stream", "left")
+    out = out.select("stream", "n", zero("n_anomalous_intervals"), zero("n_anomalous_points"), (zero("n_anomalous_points") / F.col("n")).alias("anomalous_fraction"))
+    if scored is None:
+        return out
+    return out.join(scored.groupBy(F.col("source").alias("stream")).agg(F.max("max_score").alias("max_score")), "stream", "left")
+
+
 def grid_edges(n: Column, granularity: int) -> Column:
     """Positions of the 2**granularity + 1 edges of a grid over n points, rounded half to even."""
     cells = 2**granularity
@@ -159,7 +173,9 @@ def sliding(lengths: DataFrame, width: int, stride: int) -> DataFrame:
 def jittered(lengths: DataFrame, width: int, count: int, seed: int) -> DataFrame:
     """(stream, draw, lo, hi): ``count`` windows of ``width`` points at hash-random starts in each stream that is long enough."""
     rows = lengths.where(F.col("n") >= width).select("stream", "n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("draw"))
-    lo = F.pmod(F.xxhash64("stream", "draw", F.lit(seed)), F.col("n") - width + 1).cast("int")
+    # 32 bits of a digest, which any engine can draw again.
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("stream").cast("string"), "draw", F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    lo = F.pmod(bits, F.col("n") - width + 1).cast("int")
     return rows.select("stream", "draw", lo.alias("lo")).withColumn("hi", F.col("lo") + width - 1)
 
 

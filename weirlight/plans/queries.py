@@ -150,6 +150,12 @@ def channel_spread(spark, d):
     return rounded(streams.channel_spread(events(spark, d), CHANNELS, "pos"), 4, "std", "corr")
 
 
+@query(f"""WITH {CANON}, m AS (SELECT 'x1' AS channel, stddev_pop(x1) AS std FROM canon UNION ALL SELECT 'x2', stddev_pop(x2) FROM canon)
+SELECT channel, round(std, 4) AS std FROM m ORDER BY m.std DESC, channel LIMIT 1""")
+def top_channels(spark, d):
+    return rounded(streams.top_channels(events(spark, d), CHANNELS, 1), 4, "std").select("channel", "std")
+
+
 @query(f"WITH {CANON} SELECT stream, pos, x1, n - 1 - pos AS rul, n - 1 - pos <= 15 AS degraded, n - 1 - pos > 30 AS healthy FROM canon JOIN sizes USING (stream)")
 def remaining_life(spark, d):
     return streams.remaining_life(events(spark, d), 15).drop("t", "x2")
@@ -209,30 +215,18 @@ def path_smoothness(spark, d):
     return rounded(transforms.smoothness(events(spark, d), CHANNELS), 4, "smoothness")
 
 
-PROFILE = """runs AS (SELECT stream, pos, list(x1) OVER w AS run, avg(x1) OVER w AS m, stddev_pop(x1) OVER w AS s FROM canon WHERE stream % 10 = 3 WINDOW w AS (PARTITION BY stream ORDER BY pos ROWS 7 PRECEDING)),
+PROFILE = """runs AS (SELECT stream, pos, list(x1) OVER w AS run, avg(x1) OVER w AS m, stddev_pop(x1) OVER w AS s FROM canon WINDOW w AS (PARTITION BY stream ORDER BY pos ROWS 7 PRECEDING)),
 pairs AS (SELECT a.stream, a.pos, sqrt(greatest(16 * (1 - (list_dot_product(a.run, b.run) / 8 - a.m * b.m) / (a.s * b.s)), 0)) AS dist
   FROM runs a JOIN runs b ON a.stream = b.stream AND abs(a.pos - b.pos) > 2 AND len(a.run) = 8 AND len(b.run) = 8)"""
 
 
 @query(f"WITH {CANON}, {PROFILE} SELECT stream, pos, round(min(dist), 3) AS profile FROM pairs GROUP BY 1, 2")
 def matrix_profile_joined(spark, d):
-    return rounded(transforms.matrix_profile_joined(events(spark, d).where("stream % 10 = 3"), "x1", 8), 3, "profile")
-
-
-@query(f"""WITH {CANON}, {PROFILE} SELECT c.stream, c.pos, round(min(dist), 3) AS profile FROM canon c LEFT JOIN pairs p ON p.stream = c.stream AND p.pos = c.pos WHERE c.stream % 10 = 3 GROUP BY 1, 2""")
-def matrix_profile(spark, d):
-    return rounded(transforms.matrix_profile(events(spark, d).where("stream % 10 = 3"), ["x1"], 8), 3, "profile")
-
-
-@query()
-def matrix_profile_joined_whole(spark, d):
-    """All streams; matrix_profile_joined and its SQL are a tenth of them."""
     return rounded(transforms.matrix_profile_joined(events(spark, d), "x1", 8), 3, "profile")
 
 
-@query()
-def matrix_profile_whole(spark, d):
-    """All streams; matrix_profile and its SQL are a tenth of them."""
+@query(f"""WITH {CANON}, {PROFILE} SELECT c.stream, c.pos, round(min(dist), 3) AS profile FROM canon c LEFT JOIN pairs p ON p.stream = c.stream AND p.pos = c.pos GROUP BY 1, 2""")
+def matrix_profile(spark, d):
     return rounded(transforms.matrix_profile(events(spark, d), ["x1"], 8), 3, "profile")
 
 
@@ -254,6 +248,17 @@ def reassemble(spark, d):
     return windows.reassemble(cut(spark, d).withColumn("flag", F.col("x1") > 90))
 
 
+@query(f"""WITH {CANON}, {BOUNDS}, {CUT}, f AS (SELECT stream, pos, n, x1 > 90 AS flag FROM canon JOIN sizes USING (stream) WHERE n >= 2),
+runs AS (SELECT stream, min(pos) AS lo, max(pos) AS hi FROM (SELECT stream, pos, pos - row_number() OVER (PARTITION BY stream ORDER BY pos) AS g FROM f WHERE flag) GROUP BY stream, g),
+c AS (SELECT stream, count(*) AS k, CAST(sum(hi - lo + 1) AS BIGINT) AS p FROM runs GROUP BY stream), m AS (SELECT source AS stream, max(x1) AS max_score FROM cut GROUP BY source)
+SELECT s.stream, s.n::BIGINT AS n, coalesce(k, 0) AS n_anomalous_intervals, coalesce(p, 0) AS n_anomalous_points, round(coalesce(p, 0) / s.n, 5) AS anomalous_fraction, round(max_score, 4) AS max_score
+FROM (SELECT * FROM sizes WHERE n >= 2) s LEFT JOIN c USING (stream) LEFT JOIN m USING (stream)""")
+def reassembled_counts(spark, d):
+    c = cut(spark, d)
+    scored = c.groupBy("stream", "source").agg(F.max("x1").alias("max_score"))
+    return rounded(rounded(windows.reassembled_counts(windows.reassemble(c.withColumn("flag", F.col("x1") > 90)), scored), 5, "anomalous_fraction"), 4, "max_score")
+
+
 SPANS = CANON + ", spans AS (SELECT stream, pos AS lo, CAST(pos + CAST(x2 AS INT) % 4 AS INTEGER) AS hi FROM canon WHERE x1 > 80)"
 MERGED = SPANS + """, marked AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY stream ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM spans),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY stream ORDER BY lo, hi) AS run FROM marked),
@@ -359,7 +364,8 @@ def window_labels(spark, d):
     return windows.window_labels(f, windows.sliding(windows.lengths(f), 10, 5))
 
 
-@query()
+@query(f"""WITH {CANON}, drawn AS (SELECT stream, n, CAST(unnest(range(0, 5)) AS INTEGER) AS draw FROM sizes WHERE n >= 10)
+SELECT stream, draw, CAST(('0x' || substr(md5(stream || ':' || draw || ':7'), 1, 8))::BIGINT % (n - 9) AS INTEGER) AS lo, CAST(('0x' || substr(md5(stream || ':' || draw || ':7'), 1, 8))::BIGINT % (n - 9) + 9 AS INTEGER) AS hi FROM drawn""")
 def jittered_windows(spark, d):
     return windows.jittered(windows.lengths(events(spark, d)), 10, 5, 7)
 
@@ -414,21 +420,34 @@ def signature_level2(spark, d):
     return spelled(signature.signatures(p, CHANNELS, whole(p), 2), ["stream"], 3, 12, 3)
 
 
-@query()
+def deep_sql() -> str:
+    """Level 3 of whole streams: each step v from x adds S2 v, x v v / 2 and v v v / 6, and to S2 before x v and v v / 2."""
+    steps = ", ".join(f"coalesce(lag({a}) OVER w, 0) AS b{i}, {a} - coalesce(lag({a}) OVER w, 0) AS v{i}" for i, a in enumerate(PATH))
+    second = ", ".join(f"coalesce(sum(b{i} * v{j} + 0.5 * v{i} * v{j}) OVER before, 0) AS p{i}{j}" for i in range(3) for j in range(3))
+    third = ", ".join(f"round(sum(p{i}{j} * v{k} + b{i} * v{j} * v{k} / 2 + v{i} * v{j} * v{k} / 6), 3) + 0.0 AS s{12 + 9 * i + 3 * j + k}" for i in range(3) for j in range(3) for k in range(3))
+    return f"""steps AS (SELECT stream, pos, {steps} FROM days WINDOW w AS (PARTITION BY stream ORDER BY pos)),
+parts AS (SELECT *, {second} FROM steps WINDOW before AS (PARTITION BY stream ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT stream, {third} FROM parts GROUP BY stream"""
+
+
+@query(f"WITH {CANON}, {DAYS}, {deep_sql()}")
 def signature_deep(spark, d):
     p = days(spark, d)
     return spelled(signature.deep_signatures(p, CHANNELS, whole(p), 3), ["stream"], 3, 39, 12)
 
 
-GRID = """wcut AS (SELECT stream, pos, t / 86400 AS t, x1, x2 FROM cut WHERE points = 17),
-gridded AS (SELECT DISTINCT stream, CAST(round_even(3 - log2(j - i), 0) AS INTEGER) AS depth, CAST(2 * i AS INTEGER) AS lo, CAST(2 * j AS INTEGER) AS hi FROM (SELECT DISTINCT stream FROM wcut), range(0, 9) a(i), range(0, 9) b(j) WHERE i < j)"""
+#: Points that a window needs to be in the corpus: the grid's edges. Windows to be tested need two.
+CORPUS_POINTS = 9
+GRID = f"""wcut AS (SELECT stream, pos, points, t / 86400 AS t, x1, x2 FROM cut WHERE points >= {CORPUS_POINTS}),
+gridded AS (SELECT stream, CAST(round_even(3 - log2(j - i), 0) AS INTEGER) AS depth, CAST(round_even(i * (points - 1) / 8.0, 0) AS INTEGER) AS lo, CAST(round_even(j * (points - 1) / 8.0, 0) AS INTEGER) AS hi
+  FROM (SELECT DISTINCT stream, points FROM wcut), range(0, 9) a(i), range(0, 9) b(j) WHERE i < j)"""
 CORPUS = f"{CANON}, {BOUNDS}, {CUT}, {GRID}, {sig_sql('wcut', 'gridded', 'stream, depth, lo, hi')}"
 
 
-def corpus(spark, d):
-    """Signatures of all grid intervals of whole windows."""
-    c = cut(spark, d, 17).withColumn("t", F.col("t") / 86400).select("stream", "pos", "t", *CHANNELS)
-    return signature.corpus(c, CHANNELS, 3, 2)
+def corpus(spark, d, fast: bool = False):
+    """Signatures of all grid intervals of all windows that are long enough for the grid."""
+    c = cut(spark, d, CORPUS_POINTS).withColumn("t", F.col("t") / 86400).select("stream", "pos", "t", *CHANNELS)
+    return signature.corpus(c, CHANNELS, 3, 2, fast)
 
 
 @query(f"WITH {CORPUS} SELECT stream, depth, lo, hi, {spelled_sql(3)} FROM sigs")
@@ -438,8 +457,7 @@ def grid_corpus(spark, d):
 
 @query(f"WITH {CORPUS} SELECT stream, depth, lo, hi, {spelled_sql(3)} FROM sigs")
 def grid_corpus_prefix(spark, d):
-    c = cut(spark, d, 17).withColumn("t", F.col("t") / 86400).select("stream", "pos", "t", *CHANNELS)
-    return spelled(signature.corpus(c, CHANNELS, 3, 2, fast=True), ["stream", "depth", "lo", "hi"], 3)
+    return spelled(corpus(spark, d, True), ["stream", "depth", "lo", "hi"], 3)
 
 
 def normalised_sql(centre: str, scale: str) -> str:
@@ -519,23 +537,36 @@ def knn_hashed(spark, d):
     return rounded(knn.nearest_hashed(q, r, 3), 5, "distance")
 
 
-Z = "CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END"
-SCORED = f"""{CORPUS}, zs AS (SELECT stream, depth, lo, hi, [{', '.join(f"(s{i} - avg(s{i}) OVER ()) / {Z.format(c=f's{i}')}" for i in range(12))}] AS z,
-  CAST(regexp_replace(stream, '_[0-9]+$', '') AS BIGINT) % 5 AS fold FROM sigs),
-asked AS (SELECT * FROM zs WHERE lo % 8 = 0 AND hi % 8 = 0),
-pairs AS (SELECT q.stream, q.depth, q.lo, q.hi, {SQUARED.format(a='q.z', b='r.z')} AS d, row_number() OVER (PARTITION BY q.stream, q.lo, q.hi ORDER BY {SQUARED.format(a='q.z', b='r.z')}) AS rank
-  FROM asked q JOIN asked r ON q.fold <> r.fold AND abs(q.depth - r.depth) <= 1),
-dist AS (SELECT stream, depth, lo, hi, d AS distance FROM pairs WHERE rank = 3)"""
+FOLD = "CAST(CAST(regexp_replace(stream, '_[0-9]+$', '') AS BIGINT) % 5 AS INTEGER)"
+SQUARE = " + ".join(f"(q.z{i} - r.z{i}) * (q.z{i} - r.z{i})" for i in range(12))
+
 
+def scaled_sql(where: str = "true") -> str:
+    """CTEs that end in zs: z-scored signatures with their fold; statistics are of the rows where."""
+    stats = ", ".join(f"avg(s{i}) AS c{i}, CASE WHEN stddev_pop(s{i}) = 0 THEN 1 ELSE stddev_pop(s{i}) END AS v{i}" for i in range(12))
+    return f"""folded AS (SELECT *, {FOLD} AS fold FROM sigs), stats AS (SELECT {stats} FROM folded WHERE {where}),
+zs AS (SELECT stream, depth, lo, hi, fold, {', '.join(f'(s{i} - c{i}) / v{i} AS z{i}' for i in range(12))} FROM folded, stats)"""
 
-def calibrated(spark, d, all_intervals: bool = False):
-    """(query, depth, distance): z-scored grid intervals, to those of other users' folds; only (0, 8), (8, 16) and (0, 16) unless all are asked for."""
-    sigs = corpus(spark, d)
-    rows = normalise.apply(sigs, normalise.fit(sigs, "zscore"))
-    rows = rows if all_intervals else rows.where("lo % 8 = 0 and hi % 8 = 0")
+
+def third_sql(asked: str, refs: str, apart: str) -> str:
+    """The squared distance of each row of asked to its third neighbour in refs, at most a depth away."""
+    return f"""SELECT stream, depth, lo, hi, min(dd, 3)[3] AS distance FROM (
+  SELECT q.stream, q.depth, q.lo, q.hi, {SQUARE} AS dd FROM {asked} q JOIN (SELECT *, unnest([depth - 1, depth, depth + 1]) AS probe FROM {refs}) r ON r.probe = q.depth AND {apart}) GROUP BY stream, depth, lo, hi"""
+
+
+SCORED = f"{CORPUS}, {scaled_sql()}, dist AS ({third_sql('zs', 'zs', 'r.fold <> q.fold')})"
+
+
+def folded(sigs: DataFrame) -> DataFrame:
+    """(query, depth, fold, z): signatures by interval, dealt to five folds by user."""
     fold = (streams.source_of(F.col("stream")).cast("long") % 5).cast("int")
-    rows = rows.select(F.concat_ws(":", "stream", "lo", "hi").alias("query"), "depth", fold.alias("fold"), F.col("sig").alias("z"))
-    return calibrate.fold_distances(rows, 3, 1)
+    return sigs.select(F.concat_ws(":", "stream", "lo", "hi").alias("query"), "depth", fold.alias("fold"), F.col("sig").alias("z"))
+
+
+def calibrated(spark, d):
+    """(query, depth, distance): z-scored grid intervals, to those of other users' folds."""
+    sigs = corpus(spark, d, True).persist()
+    return calibrate.fold_distances(folded(normalise.apply(sigs, normalise.fit(sigs, "zscore"))), 3, 1)
 
 
 @query(f"WITH {SCORED} SELECT stream || ':' || lo || ':' || hi AS query, depth, round(distance, 4) AS distance FROM dist")
@@ -551,18 +582,6 @@ def calibrate_thresholds(spark, d):
     return rounded(calibrate.thresholds(calibrated(spark, d)), 4, "threshold", "median_distance", "p90_distance", "p99_distance", "max_distance")
 
 
-@query()
-def fold_distances_whole(spark, d):
-    """All grid intervals; fold_distances and its SQL are three of a window."""
-    return rounded(calibrated(spark, d, True), 4, "distance")
-
-
-@query()
-def calibrate_thresholds_whole(spark, d):
-    """All grid intervals; calibrate_thresholds and its SQL are three of a window."""
-    return rounded(calibrate.thresholds(calibrated(spark, d, True)), 4, "threshold", "median_distance", "p90_distance", "p99_distance", "max_distance")
-
-
 @query(f"""WITH {VECTORS}, pairs AS (SELECT q.id, q.label, min({SQUARED.format(a='q.z', b='r.z')}) AS d FROM vectors q JOIN vectors r ON q.id <> r.id AND abs(q.label - r.label) <= 1 GROUP BY 1, 2)
 SELECT label AS depth, count(*) AS n, round(quantile_cont(d, 0.5), 4) AS median, round(quantile_cont(d, 0.9), 4) AS p90, round(quantile_cont(d, 0.99), 4) AS p99, round(max(d), 4) AS max FROM pairs GROUP BY label""")
 def score_distribution(spark, d):
@@ -663,6 +682,18 @@ def range_metrics(spark, d):
     return rounded(evaluate.range_metrics(edged(spark, d)), 5, "recall", "precision")
 
 
+@query(f"""WITH {EDGED}, c AS (SELECT *, pos >= 3 AS covered FROM adjusted),
+k AS (SELECT count(*) FILTER (label AND flag) AS tp, count(*) FILTER (NOT label AND flag) AS fp, count(*) FILTER (label AND NOT flag) AS fn, count(*) FILTER (NOT label AND NOT flag) AS tn,
+ count(*) FILTER (label AND adjusted) AS atp, count(*) FILTER (NOT label AND adjusted) AS afp, count(*) FILTER (label AND NOT adjusted) AS afn, count(*) FILTER (NOT label AND NOT adjusted) AS atn FROM c WHERE covered),
+r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS q, coalesce(atp / nullif(atp + afp, 0), 0) AS ap, coalesce(atp / nullif(atp + afn, 0), 0) AS aq FROM k)
+SELECT tp AS point_tp, fp AS point_fp, fn AS point_fn, tn AS point_tn, round(p, 5) AS point_precision, round(q, 5) AS point_recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 5) AS point_f1,
+ atp AS adj_tp, afp AS adj_fp, afn AS adj_fn, atn AS adj_tn, round(ap, 5) AS adj_precision, round(aq, 5) AS adj_recall, round(coalesce(2 * ap * aq / nullif(ap + aq, 0), 0), 5) AS adj_f1,
+ (SELECT round(avg(covered::INT), 5) FROM c) AS covered_fraction FROM r""")
+def point_level(spark, d):
+    found = evaluate.point_level(edged(spark, d).withColumn("covered", F.col("pos") >= 3))
+    return rounded(found, 5, *[f"{a}_{b}" for a in ("point", "adj") for b in ("precision", "recall", "f1")], "covered_fraction")
+
+
 RANKED = CANON + """, pts AS (SELECT pos >= n - 21 AS label, floor(x1) AS score FROM canon JOIN sizes USING (stream)),
 by_score AS (SELECT score, count(*) FILTER (WHERE label) AS p, count(*) FILTER (WHERE NOT label) AS n FROM pts GROUP BY score),
 curve AS (SELECT score, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM by_score WINDOW w AS (ORDER BY score DESC))"""
@@ -678,6 +709,36 @@ def ranking(spark, d):
     return rounded(evaluate.ranking(ranked(spark, d)), 6, "roc_auc", "average_precision", "lift")
 
 
+WINDOWED = RANKED.replace("floor(x1) AS score FROM canon", "floor(x1) AS score, x1 > 90 AS flag FROM canon")
+SHARES = """k AS (SELECT count(*) FILTER (label AND flag) AS tp, count(*) FILTER (NOT label AND flag) AS fp, count(*) FILTER (label AND NOT flag) AS fn, count(*) FILTER (NOT label AND NOT flag) AS tn, count(*) AS n_windows,
+ avg(label::INT) AS positive_rate, avg(flag::INT) AS flagged_rate, quantile_cont(score, 0.5) AS score_median, quantile_cont(score, 0.05) AS score_p05, quantile_cont(score, 0.95) AS score_p95 FROM pts),
+rk AS (SELECT sum(n * ((tp - p) + p / 2)) / (max(pos) * max(neg)) AS roc_auc, sum(p / pos * (tp / (tp + fp))) AS average_precision, max(pos) / (max(pos) + max(neg)) AS base FROM curve),
+r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM k, rk)"""
+
+
+@query(f"""WITH {WINDOWED}, {SHARES} SELECT tp, fp, fn, tn, round(precision, 5) AS precision, round(recall, 5) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 5) AS f1, n_windows,
+ round(positive_rate, 5) AS positive_rate, round(flagged_rate, 5) AS flagged_rate, round(score_median, 4) AS score_median, round(score_p05, 4) AS score_p05, round(score_p95, 4) AS score_p95,
+ round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision, round(average_precision / base, 6) AS lift FROM r""")
+def window_report(spark, d):
+    out = evaluate.window_report(ranked(spark, d), "score")
+    return rounded(rounded(rounded(out, 5, "precision", "recall", "f1", "positive_rate", "flagged_rate"), 4, "score_median", "score_p05", "score_p95"), 6, "roc_auc", "average_precision", "lift")
+
+
+@query(f"""WITH {EDGED.replace("x1 > 90 AS flag", "x1 > 90 AS flag, floor(x1) AS score").replace("SELECT stream, pos, label, flag, CASE", "SELECT stream, pos, label, flag, score, CASE")},
+by_score AS (SELECT score, count(*) FILTER (WHERE label) AS p, count(*) FILTER (WHERE NOT label) AS n FROM adjusted GROUP BY score),
+curve AS (SELECT score, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM by_score WINDOW w AS (ORDER BY score DESC)),
+rk AS (SELECT sum(n * ((tp - p) + p / 2)) / (max(pos) * max(neg)) AS roc_auc, sum(p / pos * (tp / (tp + fp))) AS average_precision, max(pos) / (max(pos) + max(neg)) AS base FROM curve),
+k AS (SELECT count(*) FILTER (label AND flag) AS tp, count(*) FILTER (NOT label AND flag) AS fp, count(*) FILTER (label AND NOT flag) AS fn, count(*) FILTER (label AND adjusted) AS atp, count(*) FILTER (NOT label AND adjusted) AS afp,
+ count(*) FILTER (label AND NOT adjusted) AS afn, avg(flag::INT) AS flagged, avg(label::INT) AS anomaly_rate FROM adjusted),
+r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS q, coalesce(atp / nullif(atp + afp, 0), 0) AS ap, coalesce(atp / nullif(atp + afn, 0), 0) AS aq FROM k, rk)
+SELECT round(p, 5) AS precision, round(q, 5) AS recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 5) AS f1, round(ap, 5) AS adj_precision, round(aq, 5) AS adj_recall, round(coalesce(2 * ap * aq / nullif(ap + aq, 0), 0), 5) AS adj_f1,
+ round(flagged, 5) AS flagged, round(anomaly_rate, 5) AS anomaly_rate, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision, round(average_precision / base, 6) AS lift FROM r""")
+def detector_report(spark, d):
+    points = edged(spark, d).join(events(spark, d).select("stream", "pos", F.floor("x1").cast("double").alias("score")), ["stream", "pos"])
+    out = evaluate.detector_report(points, "score")
+    return rounded(rounded(out, 5, "precision", "recall", "f1", "adj_precision", "adj_recall", "adj_f1", "flagged", "anomaly_rate"), 6, "roc_auc", "average_precision", "lift")
+
+
 @query(f"""WITH {RANKED}, c AS (SELECT score, tp / pos AS tpr, fp / neg AS fpr FROM curve) SELECT score AS cut, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM c ORDER BY c.tpr - c.fpr DESC, score DESC LIMIT 1""")
 def youden_cut(spark, d):
     return rounded(evaluate.youden_cut(ranked(spark, d)), 6, "tpr", "fpr")
@@ -760,27 +821,40 @@ def throughput(spark, d):
 
 
 def flagged_sql() -> str:
-    terms = ", ".join(f"(s{i} - avg(s{i}) OVER ()) / {Z.format(c=f's{i}')}" for i in range(12))
-    return f"""WITH {CANON}, {BOUNDS}, {CUT}, wcut AS (SELECT stream, pos, t / 86400 AS t, x1, x2 FROM cut WHERE points = 17),
-full_windows AS (SELECT DISTINCT stream, 0 AS lo, 16 AS hi FROM wcut), {sig_sql('wcut', 'full_windows', 'stream, lo, hi')},
-zs AS (SELECT stream, [{terms}] AS z, CAST(regexp_replace(stream, '_[0-9]+$', '') AS BIGINT) % 5 AS fold FROM sigs),
-pairs AS (SELECT q.stream, q.fold, {SQUARED.format(a='q.z', b='r.z')} AS d, row_number() OVER (PARTITION BY q.stream ORDER BY {SQUARED.format(a='q.z', b='r.z')}) AS rank FROM zs q JOIN zs r ON q.fold <> r.fold),
-dist AS (SELECT stream, fold, d AS distance FROM pairs WHERE rank = 3),
-cut95 AS (SELECT quantile_cont(distance, 0.95) AS threshold FROM dist WHERE fold <> 4)
-SELECT stream, round(distance, 4) AS distance, round(threshold, 4) AS threshold, distance > threshold AS flagged FROM dist, cut95 WHERE fold = 4"""
+    near = ", ".join(f"abs(log2((points - 1) / 16.0) + {k})" for k in range(4))
+    return f"""WITH {CANON}, {BOUNDS}, {CUT}, {GRID.replace('wcut AS (', 'all_points AS (SELECT stream, pos, points, t / 86400 AS t, x1, x2 FROM cut), wcut AS (')},
+intervals AS (SELECT *, 0 AS tested FROM gridded WHERE {FOLD} <> 4
+  UNION ALL SELECT stream, CAST(list_position([{near}], list_min([{near}])) - 1 AS INTEGER), 0, points - 1, 1 FROM (SELECT DISTINCT stream, points FROM all_points) WHERE {FOLD} = 4),
+{sig_sql('all_points', 'intervals', 'stream, depth, lo, hi, tested')}, {scaled_sql('tested = 0')},
+known AS (SELECT * FROM zs WHERE fold <> 4), tests AS (SELECT * FROM zs WHERE fold = 4),
+dist AS ({third_sql('known', 'known', 'r.fold <> q.fold')}), scores AS ({third_sql('tests', 'known', 'true')}),
+cuts AS (SELECT depth, quantile_cont(distance, 0.95) AS threshold FROM dist GROUP BY depth)
+SELECT stream, CAST(hi + 1 AS INTEGER) AS points, depth, round(distance, 4) AS distance, round(threshold, 4) AS threshold, distance > threshold AS flagged FROM scores JOIN cuts USING (depth)"""
 
 
 @query(flagged_sql())
 def flagged_windows(spark, d):
-    """The flagship: whole windows' signatures, z-scored, to their third neighbour in other folds, against the 95th percentile of the corpus."""
-    c = cut(spark, d, 17).withColumn("t", F.col("t") / 86400).select("stream", "pos", "t", *CHANNELS)
-    sigs = signature.prefix_signatures(c, CHANNELS, whole(c))
-    rows = normalise.apply(sigs, normalise.fit(sigs, "zscore"))
-    fold = (streams.source_of(F.col("stream")).cast("long") % 5).cast("int")
-    rows = rows.select(F.col("stream").alias("query"), F.lit(0).alias("depth"), fold.alias("fold"), F.col("sig").alias("z"))
-    found = calibrate.fold_distances(rows, 3, 0).join(rows.select("query", "fold"), "query")
-    limit = found.where("fold <> 4").agg(calibrate.statistic("p95").alias("threshold"))
-    out = found.where("fold = 4").crossJoin(F.broadcast(limit)).select(F.col("query").alias("stream"), "distance", "threshold", (F.col("distance") > F.col("threshold")).alias("flagged"))
+    """The flagship: every window of the test users, from two points on, against the grid intervals of the corpus users' windows.
+
+    Signatures are z-scored by the corpus. A window's score is its distance to the third neighbour at
+    most a depth away; the threshold is the 95th percentile, per depth, of corpus intervals against the
+    corpus of other folds.
+    """
+    c = cut(spark, d).withColumn("t", F.col("t") / 86400).select("stream", "pos", "t", *CHANNELS)
+    test = streams.source_of(F.col("stream")).cast("long") % 5 == 4
+    sizes = windows.lengths(c)
+    grid = windows.grid(sizes.where(~test), 3).select("stream", "depth", "lo", "hi")
+    width = (F.col("n") - 1) / F.lit(16)
+    asked = sizes.where(test).select("stream", windows.depth_of(width, [0, 1, 2, 3]).alias("depth"), F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
+    sigs = signature.prefix_signatures(c, CHANNELS, grid.unionByName(asked)).persist()
+    rows = folded(normalise.apply(sigs, normalise.fit(sigs.where(~test), "zscore"))).persist()
+    known = rows.where("fold <> 4")
+    limits = calibrate.thresholds(calibrate.fold_distances(known, 3, 1)).select("depth", "threshold")
+    refs = knn.banded(known.select(F.col("query").alias("ref"), "depth", "z"), 1).drop("depth").withColumnRenamed("probe", "depth")
+    tests = rows.where("fold = 4")
+    found = knn.nearest_blocked(tests, refs, 3, group="depth").where("rank = 3").join(tests.select("query", "depth"), "query").join(limits, "depth")
+    parts = F.split("query", ":")
+    out = found.select(parts[0].alias("stream"), (parts[2].cast("int") + 1).alias("points"), "depth", "distance", "threshold", (F.col("distance") > F.col("threshold")).alias("flagged"))
     return rounded(out, 4, "distance", "threshold")
 
 
@@ -825,33 +899,79 @@ def per_interval_detector(spark, d):
     return interval_model.detect(c.where(side != 4), c.where(side == 4), CHANNELS, statistic="p90", withheld=0.2)
 
 
-@query()
-def point_scores(spark, d):
-    from ..plans import detect as plan
+def fitted(spark, d):
+    """(detector, test streams, settings) at the defaults."""
     from ..config import check
+    from . import detect as plan
 
     c = check({})
     corpus_, test = split_users(spark, d)
-    det = plan.fit(corpus_, CHANNELS, c)
-    points = c["evaluate"]["point_scores"]
-    apply = lambda s: normalise.apply(s, det.normaliser)
-    return scoring.score_points(test, CHANNELS, det.refs, det.metric, det.thresholds, points["window"], points["stride"], c["detect"]["neighbours"], c["detect"]["band"], c["window"]["size"], c["signature"]["trunc"], apply)
+    return plan.fit(corpus_, CHANNELS, c), test, c
+
+
+@query()
+def point_scores(spark, d):
+    from . import detect as plan
+
+    det, test, c = fitted(spark, d)
+    return plan.point_scores(det, test, CHANNELS, c)
+
+
+@query()
+def pooled_detector(spark, d):
+    """Anomalous intervals of whole test streams by one threshold for all widths."""
+    from . import detect as plan
+
+    return plan.pooled(*split_users(spark, d), CHANNELS, 2.0)
+
+
+@query()
+def threshold_sweep(spark, d):
+    """Rates of the whole search at several scales of its thresholds, against the last 21 points of each stream."""
+    from . import detect as plan
+
+    det, test, c = fitted(spark, d)
+    truth = evaluate.labels_to_failure(test, 20).select(F.col("stream").cast("string").alias("stream"), "pos", "label")
+    return rounded(plan.operating_points(det, test, CHANNELS, truth, c), 5, "precision", "recall", "f1", "tpr", "fpr")
+
+
+@query()
+def guarded_search(spark, d):
+    """The search by cells, with infinite scores for matches outside the corpus' span."""
+    c = {"detect": {"off_manifold": 0.5, "index": {"kind": "cells"}}}
+    return detect(*split_users(spark, d), CHANNELS, c)["windows"].drop("anomalous")
+
+
+@query()
+def reduced_search(spark, d):
+    """The search over signatures that were reduced to a few terms."""
+    c = {"signature": {"normalise": False}, "signature_umap": {"dimension": 3, "rows": 2000}}
+    return detect(*split_users(spark, d), CHANNELS, c)["windows"].drop("anomalous")
 
 
 @query()
 def off_manifold(spark, d):
-    sigs = corpus(spark, d)
-    v = metric.numerical_subspace(metric.spectrum(sigs))
+    """Of every corpus interval, the share of its difference to the nearest one of other folds that leaves the span of the intervals of depth 0.
+
+    That span is the first two principal directions, so that something can leave it.
+    """
+    import numpy as np
+
+    sigs = corpus(spark, d, True).persist()
+    v = metric.spectrum(sigs.where("depth = 0")).vectors[:2]
+    rows = folded(sigs).persist()
+    refs = knn.banded(rows.select(F.col("query").alias("ref"), "depth", "fold", "z"), 1).drop("depth").withColumnRenamed("probe", "depth")
+    near = knn.nearest_blocked(rows, refs, 1, group="depth", fold="fold").select("query", "ref")
+    both = near.join(rows.select("query", "z"), "query").join(rows.select(F.col("query").alias("ref"), F.col("z").alias("ref_z")), "ref")
 
     def shares(batches):
-        import numpy as np
         import pandas as pd
 
         for b in batches:
-            x = np.stack(b["sig"].to_numpy())
-            yield pd.DataFrame({"stream": b["stream"], "lo": b["lo"], "hi": b["hi"], "off": knn.off_manifold(x + 1.0, x, v)})
+            if len(b):
+                yield pd.DataFrame({"query": b["query"], "off": knn.off_manifold(np.stack(b["z"].to_numpy()), np.stack(b["ref_z"].to_numpy()), v)})
 
-    return rounded(sigs.select("stream", "lo", "hi", "sig").mapInPandas(shares, "stream string, lo int, hi int, off double"), 6, "off")
+    return rounded(both.mapInPandas(shares, "query string, off double"), 4, "off")
 
 
 @query()
@@ -869,6 +989,6 @@ def reduce_signatures(spark, d):
 def trustworthiness(spark, d):
     import numpy as np
 
-    x = reduce.drawn_rows(vectors(spark, d), ["z"], 500, ["id"])
+    x = reduce.drawn_rows(vectors(spark, d), ["z"], 2000, ["id"])
     p = reduce.fit(x, 2, rounds=50)
     return spark.createDataFrame([(float(round(reduce.trustworthiness(p.ambient, p.latent), 6)), float(np.round(p.fidelity, 6)))], "trustworthiness double, fidelity double")

@@ -160,3 +160,21 @@ def read_timeeval(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Timed events of traces, as labels.event_spans wants them."""
     return spark.read.csv(path, header=True, inferSchema=True).withColumnRenamed("trace_name", "stream")
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Truth as one row for each point (stream, pos, label), or for each interval (stream, lo, hi), by what the file holds.
+
+    A file has ``label`` of each point, or as an array for each stream, or ``anomalous``, an array of [lo, hi].
+    """
+    df = spark.read.csv(path, header=True, inferSchema=True) if suffix_of(path) == ".csv" else spark.read.parquet(path)
+    kind = dict(df.dtypes)
+    if kind.get("label", "").startswith("array"):
+        return df.select("stream", F.posexplode("label").alias("pos", "label")).withColumn("label", F.col("label") != 0)
+    if "label" in kind:
+        return df.select("stream", "pos", (F.col("label").cast("int") != 0).alias("label"))
+    if "anomalous" in kind:
+        return df.select("stream", F.explode("anomalous").alias("a")).select("stream", F.col("a")[0].alias("lo"), F.col("a")[1].alias("hi"))
+    if {"lo", "hi"} <= set(kind):
+        return df.select("stream", "lo", "hi")
+    raise ValueError(f"{path} has neither label, anomalous, nor lo and hi: {df.columns}")
