@@ -18,7 +18,7 @@ SLICE = 4_000_000
 #: Numbers in one block of references or of queries: 64 MB of doubles.
 BLOCK_VALUES = 8_000_000
 #: Pairs that one task compares, about.
-TASK_PAIRS = 400_000_000
+TASK_PAIRS = 1_500_000_000
 #: Blocks of references that nearest_joined deals its queries to without a key.
 DEALT = 32
 
@@ -144,31 +144,92 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
+#: Queries and references whose distances are computed at a time: 2 MB, which a core's cache holds.
+TILE_ROWS, TILE_COLUMNS = 128, 2048
+
+
 class _Block:
-    """References of one key, in the order of their names."""
+    """References of one key, for searches by leaves of LEAF columns.
+
+    Columns are in the order of fold and name, and each fold is filled up to whole leaves with columns
+    at an infinite distance. A query's k nearest are in leaves whose least distance is not above the
+    k-th least one of its leaves, so only those are looked at again.
+    """
 
     def __init__(self, names: list[pa.Array], z: np.ndarray, folds: np.ndarray):
-        self.names, self.z, self.folds = pa.concat_arrays(names), z, folds
+        self.names = pa.concat_arrays(names)
+        # Names come in their order, so a stable sort by fold keeps it.
+        order = np.argsort(folds, kind="stable")
+        self.folds, sizes = np.unique(folds, return_counts=True)
+        leaves = -(-sizes // LEAF)
+        self.first = np.r_[0, np.cumsum(leaves)]
+        self.place = np.full(int(self.first[-1]) * LEAF, -1, np.int64)
+        at, row = self.first[:-1] * LEAF, 0
+        for start, size in zip(at.tolist(), sizes.tolist(), strict=True):
+            self.place[start : start + size] = order[row : row + size]
+            row += size
+        self.z = z[self.place]
+        norm = np.where(self.place < 0, np.inf, (self.z * self.z).sum(1))
+        self.wide = np.ascontiguousarray(np.c_[-2 * self.z, norm].T)
+        self.wide[:-1, self.place < 0] = 0
+
+    def _least(self, z: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """The least distance of each row, but for the row's own norm, in each of the leaves."""
+        left = np.c_[z, np.ones(len(z))]
+        out = np.empty((len(z), len(leaves)))
+        runs = np.flatnonzero(np.r_[True, np.diff(leaves) != 1, True])
+        for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+            for lo in range(a, b, TILE_COLUMNS // LEAF):
+                hi = min(b, lo + TILE_COLUMNS // LEAF)
+                tile = left @ self.wide[:, leaves[lo] * LEAF : (leaves[hi - 1] + 1) * LEAF]
+                out[:, lo:hi] = tile.reshape(len(z), hi - lo, LEAF).min(2)
+        return out
+
+    def _rows(self, z: np.ndarray, leaves: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in names, distance) of the k nearest of each row, by distance and name."""
+        least = self._least(z, leaves)
+        top = min(k, len(leaves))
+        bound = np.partition(least, top - 1, axis=1)[:, top - 1 : top]
+        # A little above the bound too, as sums in another order differ in their last digits.
+        row, leaf = np.nonzero(least <= bound + 1e-9 * (np.abs(bound) + (z * z).sum(1)[:, None] + 1e-300))
+        column = (leaves[leaf][:, None] * LEAF + np.arange(LEAF)).ravel()
+        row = np.repeat(row, LEAF)
+        real = self.place[column] >= 0
+        row, column = row[real], column[real]
+        distance = ((z[row] - self.z[column]) ** 2).sum(1)
+        place = self.place[column]
+        order = np.lexsort((place, distance, row))
+        row, place, distance = row[order], place[order], distance[order]
+        begin = np.searchsorted(row, row, "left")
+        kept = np.arange(len(row)) - begin < k
+        return row[kept], place[kept], distance[kept]
 
     def nearest(self, queries: pa.Array, z: np.ndarray, folds: np.ndarray, k: int, other_fold: bool, skip_self: bool):
-        """Batches of (query, ref, distance): the k nearest of each query, in slices, so that the matrix of distances stays small."""
+        """Batches of (query, ref, distance): the k nearest of each query."""
+        every = np.arange(int(self.first[-1]))
+        groups = [(None, np.arange(len(z)))] if not other_fold else [(f, np.flatnonzero(folds == f)) for f in np.unique(folds)]
+        own = None
         if skip_self:
-            names = self.names.to_numpy(zero_copy_only=False)
-            asked = queries.to_numpy(zero_copy_only=False)
-            first, last = np.searchsorted(names, asked, "left"), np.searchsorted(names, asked, "right")
-        step = max(1, SLICE // len(self.z))
-        for at in range(0, len(z), step):
-            rows = slice(at, at + step)
-            d = distances(z[rows], self.z)
-            if other_fold:
-                d[folds[rows][:, None] == self.folds[None]] = np.inf
-            if skip_self:
-                for i in np.flatnonzero(first[rows] < last[rows]):
-                    d[i, first[at + i] : last[at + i]] = np.inf
-            column, value = smallest(d, k)
-            ok = np.isfinite(value).ravel()
-            row = np.repeat(np.arange(at, at + len(d)), column.shape[1])[ok]
-            yield pa.record_batch([queries.take(pa.array(row)), self.names.take(pa.array(column.ravel()[ok])), pa.array(value.ravel()[ok])], names=["query", "ref", "distance"])
+            names, asked = self.names.to_numpy(zero_copy_only=False), queries.to_numpy(zero_copy_only=False)
+            own = np.searchsorted(names, asked, "left"), np.searchsorted(names, asked, "right")
+            # The nearest of all, with as many more as a name may have.
+            more = k + int((own[1] - own[0]).max(initial=0))
+        for f, rows in groups:
+            mine = np.searchsorted(self.folds, f) if f is not None else len(self.folds)
+            leaves = every
+            if mine < len(self.folds) and self.folds[mine] == f:
+                leaves = np.r_[every[: self.first[mine]], every[self.first[mine + 1] :]]
+            if not len(leaves):
+                continue
+            for at in range(0, len(rows), TILE_ROWS):
+                part = rows[at : at + TILE_ROWS]
+                row, place, distance = self._rows(z[part], leaves, more if skip_self else k)
+                if skip_self:
+                    apart = (place < own[0][part[row]]) | (place >= own[1][part[row]])
+                    row, place, distance = row[apart], place[apart], distance[apart]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+                    row, place, distance = row[kept], place[kept], distance[kept]
+                yield pa.record_batch([queries.take(pa.array(part[row])), self.names.take(pa.array(place)), pa.array(distance)], names=["query", "ref", "distance"])
 
 
 def cells_of(n: int) -> int:
