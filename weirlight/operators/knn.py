@@ -144,22 +144,27 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
-#: Queries and references whose distances are computed at a time: 2 MB, which a core's cache holds.
+#: Queries and references whose distances are computed at a time: 1 MB, which a core's cache holds.
 TILE_ROWS, TILE_COLUMNS = 128, 2048
+#: Leaves, those of the likeliest lengths, that give a tile's first bound.
+FIRST_LEAVES = 64
 
 
 class _Block:
     """References of one key, for searches by leaves of LEAF columns.
 
-    Columns are in the order of fold and name, and each fold is filled up to whole leaves with columns
+    Columns are in the order of fold and length, and each fold is filled up to whole leaves with columns
     at an infinite distance. A query's k nearest are in leaves whose least distance is not above the
-    k-th least one of its leaves, so only those are looked at again.
+    k-th least one of its leaves, so only those are looked at again. Least distances are of 32-bit
+    numbers, with a bound of their errors, which is narrow in leaves of references of like length.
+    Leaves whose lengths differ from a tile of queries' by more than its neighbours can be away, by the
+    triangle inequality, are not computed at all.
     """
 
     def __init__(self, names: list[pa.Array], z: np.ndarray, folds: np.ndarray):
         self.names = pa.concat_arrays(names)
-        # Names come in their order, so a stable sort by fold keeps it.
-        order = np.argsort(folds, kind="stable")
+        norms = (z * z).sum(1)
+        order = np.lexsort((norms, folds))
         self.folds, sizes = np.unique(folds, return_counts=True)
         leaves = -(-sizes // LEAF)
         self.first = np.r_[0, np.cumsum(leaves)]
@@ -169,14 +174,17 @@ class _Block:
             self.place[start : start + size] = order[row : row + size]
             row += size
         self.z = z[self.place]
-        norm = np.where(self.place < 0, np.inf, (self.z * self.z).sum(1))
-        self.wide = np.ascontiguousarray(np.c_[-2 * self.z, norm].T)
-        self.wide[:-1, self.place < 0] = 0
+        empty = self.place < 0
+        norm = norms[self.place]
+        self.wide = np.ascontiguousarray(np.c_[-2 * self.z, norm].T.astype(np.float32))
+        self.wide[:-1, empty], self.wide[-1, empty] = 0, np.inf
+        self.reach = np.sqrt(np.where(empty, 0, norm).reshape(-1, LEAF).max(1))
+        self.inner = np.sqrt(np.where(empty, np.inf, norm).reshape(-1, LEAF).min(1))
 
     def _least(self, z: np.ndarray, leaves: np.ndarray) -> np.ndarray:
         """The least distance of each row, but for the row's own norm, in each of the leaves."""
-        left = np.c_[z, np.ones(len(z))]
-        out = np.empty((len(z), len(leaves)))
+        left = np.c_[z, np.ones(len(z))].astype(np.float32)
+        out = np.empty((len(z), len(leaves)), np.float32)
         runs = np.flatnonzero(np.r_[True, np.diff(leaves) != 1, True])
         for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
             for lo in range(a, b, TILE_COLUMNS // LEAF):
@@ -185,13 +193,27 @@ class _Block:
                 out[:, lo:hi] = tile.reshape(len(z), hi - lo, LEAF).min(2)
         return out
 
+    def _bound(self, z: np.ndarray, size: np.ndarray, leaves: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(least distances, their errors, a bound of the k-th least distance), all less the row's own norm."""
+        least = self._least(z, leaves).astype(np.float64)
+        reach = self.reach[leaves][None]
+        # Of a sum of so many 32-bit products, and of the numbers' own rounding.
+        error = 6e-8 * (z.shape[1] + 4) * (2 * size[:, None] + reach) * reach
+        top = min(k, len(leaves))
+        return least, error, np.partition(least + error, top - 1, axis=1)[:, top - 1 : top]
+
     def _rows(self, z: np.ndarray, leaves: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place in names, distance) of the k nearest of each row, by distance and name."""
-        least = self._least(z, leaves)
-        top = min(k, len(leaves))
-        bound = np.partition(least, top - 1, axis=1)[:, top - 1 : top]
-        # A little above the bound too, as sums in another order differ in their last digits.
-        row, leaf = np.nonzero(least <= bound + 1e-9 * (np.abs(bound) + (z * z).sum(1)[:, None] + 1e-300))
+        size = np.sqrt((z * z).sum(1))
+        gap = np.maximum(0, np.maximum(self.inner[leaves] - size.max(), size.min() - self.reach[leaves]))
+        some = max(FIRST_LEAVES, k)
+        if len(leaves) > 2 * some:
+            first = np.sort(np.argpartition(gap, some)[:some])
+            bound = self._bound(z, size, leaves[first], k)[2]
+            away = max(0.0, float((bound[:, 0] + size * size).max()))
+            leaves = leaves[gap * gap <= away * (1 + 1e-9) + 1e-300]
+        least, error, bound = self._bound(z, size, leaves, k)
+        row, leaf = np.nonzero(least - error <= bound)
         column = (leaves[leaf][:, None] * LEAF + np.arange(LEAF)).ravel()
         row = np.repeat(row, LEAF)
         real = self.place[column] >= 0
@@ -207,6 +229,7 @@ class _Block:
     def nearest(self, queries: pa.Array, z: np.ndarray, folds: np.ndarray, k: int, other_fold: bool, skip_self: bool):
         """Batches of (query, ref, distance): the k nearest of each query."""
         every = np.arange(int(self.first[-1]))
+        size = (z * z).sum(1)
         groups = [(None, np.arange(len(z)))] if not other_fold else [(f, np.flatnonzero(folds == f)) for f in np.unique(folds)]
         own = None
         if skip_self:
@@ -215,6 +238,8 @@ class _Block:
             # The nearest of all, with as many more as a name may have.
             more = k + int((own[1] - own[0]).max(initial=0))
         for f, rows in groups:
+            # Queries of like length share a tile.
+            rows = rows[np.argsort(size[rows], kind="stable")]
             mine = np.searchsorted(self.folds, f) if f is not None else len(self.folds)
             leaves = every
             if mine < len(self.folds) and self.folds[mine] == f:

@@ -1,8 +1,11 @@
 """Scoring of unbounded streams: windows are closed as their points arrive and scored against a fitted detector.
 
-This goes beyond batch scoring, which is the reference for its results. State is one open window per
-stream: its points and the next window's number. Points of a stream must arrive in order of ``pos``
-within the watermark; later ones are dropped by the watermark.
+This goes beyond batch scoring, which is the reference for its results. Window w of a stream is of its
+points from ``(w - 1) * size`` to ``w * size``, as in batch. State is, for each stream, its points that are not yet
+in a closed window and the number of the last closed one. Points may come in any order within the
+watermark's delay: windows close in order, each once all its points are there, and points of closed
+windows that come again are dropped. A stream that is silent until the watermark has passed its last
+point by the delay is at its end: what is left is closed as it is, the last window short.
 """
 
 from __future__ import annotations
@@ -27,23 +30,39 @@ def closed_windows(points: DataFrame, channels: Sequence[str], size: int, delay:
     path = ["t", *channels]
     kind = dict(points.dtypes)["stream"]
     out = f"stream {kind}, window int, points array<array<double>>"
+    wait = int(pd.Timedelta(delay).total_seconds() * 1000)
 
     def close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # The state's points are kept as text: state rows take no nested arrays.
-        number, text = state.get if state.exists else (1, "[]")
-        held = json.loads(text)
-        rows = pd.concat(list(batches)).sort_values("pos")[path].to_numpy(float).tolist()
-        held = [*held, *rows]
+        closed, latest, text = state.get if state.exists else (0, 0, "{}")
+        held = {int(p): x for p, x in json.loads(text).items()}
         found = []
-        while len(held) > size:
-            found.append((key[0], number, held[: size + 1]))
-            # The last point of a window is the first of the next.
-            number, held = number + 1, held[size:]
-        state.update((number, json.dumps(held)))
+        if state.hasTimedOut:
+            state.remove()
+            for w in range(closed + 1 if closed else min(held, default=0) // size + 1, (max(held, default=0) - 1) // size + 2):
+                rest = [held[p] for p in range((w - 1) * size, w * size + 1) if p in held]
+                if len(rest) > 1:
+                    found.append((key[0], w, rest))
+        else:
+            for batch in batches:
+                latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
+                for p, x in zip(batch["pos"].tolist(), batch[path].to_numpy(float).tolist(), strict=True):
+                    if p >= closed * size:
+                        held.setdefault(p, x)
+            while held:
+                w = closed + 1 if closed else min(held) // size + 1
+                span = range((w - 1) * size, w * size + 1)
+                if not all(p in held for p in span):
+                    break
+                found.append((key[0], w, [held[p] for p in span]))
+                # The last point of a window is the first of the next.
+                closed, held = w, {p: x for p, x in held.items() if p >= w * size}
+            state.update((closed, latest, json.dumps(held)))
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + wait + 1)
         yield pd.DataFrame(found, columns=["stream", "window", "points"])
 
     marked = points.withWatermark("ts", delay)
-    return marked.groupBy("stream").applyInPandasWithState(close, out, "number int, held string", "append", GroupStateTimeout.NoTimeout)
+    return marked.groupBy("stream").applyInPandasWithState(close, out, "closed int, latest long, held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def score_windows(windows: DataFrame, refs: np.ndarray, metric: Whitening, thresholds: dict[int, float], k: int = 3, depth: int = 2) -> DataFrame:
