@@ -41,3 +41,45 @@ def test_corpus_forms(spark, tmp_path):
 
 def test_names_that_collide():
     assert files.names_for_urls(["http://a/x.csv", "http://b/x.csv"]) == {"http://a/x.csv": "x.csv", "http://b/x.csv": "x_1.csv"}
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"s{i}.csv").write_text("time,v\n0,1.5\n1,2.5\n" + ("2,3.5\n" if i == 4 else ""))
+        (tmp_path / f"w{i}.txt").write_text("1 2 \n4 5 \n")
+    spark.createDataFrame([(0, 9.0)], "time int, v double").coalesce(1).write.parquet(str(tmp_path / "folder.parquet"))
+    found = files.read_stream_files(spark, files.expand(spark, [f"{tmp_path}/*.csv", f"{tmp_path}/folder.parquet"]))
+    counts = {r["stream"]: r["count"] for r in found.groupBy("stream").count().collect()}
+    assert counts == {**{f"s{i}": 2 for i in range(4)}, "s4": 3, "folder": 1}
+    text = files.read_stream_files(spark, files.expand(spark, [f"{tmp_path}/*.txt"]), equal_lengths=True)
+    assert sorted(text.columns) == ["0", "1", "stream"] and text.select("stream").distinct().count() == 5
+    with pytest.raises(ValueError, match="from 2 to 3 rows"):
+        files.read_stream_files(spark, files.expand(spark, [f"{tmp_path}/*.csv"]), equal_lengths=True)
+
+
+def test_names_of_columns_without_a_header(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)], ["0", "1", "2"])
+    for time, columns, name in ((None, ["Variable_1", "Variable_2", "Variable_3"], None), (0, ["Time", "Variable_1", "Variable_2"], "Time"), (-1, ["Variable_1", "Variable_2", "Time"], "Time"), ("1", ["Variable_1", "Time", "Variable_2"], "Time")):
+        named, found = streams.name_columns(df, time)
+        assert named.columns == columns and found == name
+    for wrong in (3, -4, "when"):
+        with pytest.raises(ValueError):
+            streams.name_columns(df, wrong)
+    own = df.toDF("a", "Date", "b")
+    assert streams.name_columns(own)[1] == "Date" and streams.name_columns(own)[0].columns == own.columns
+
+
+def test_labels_in_all_forms(spark, tmp_path):
+    forms = {
+        "points": spark.createDataFrame([("a", 0, 1), ("a", 1, 0)], "stream string, pos int, label int"),
+        "arrays": spark.createDataFrame([("a", [1, 0])], "stream string, label array<int>"),
+        "pairs": spark.createDataFrame([("a", [[0, 0]])], "stream string, anomalous array<array<int>>"),
+        "spans": spark.createDataFrame([("a", 0, 0)], "stream string, lo int, hi int"),
+    }
+    for name, df in forms.items():
+        df.write.parquet(str(tmp_path / name))
+        found = sorted(tuple(r) for r in files.read_labels(spark, str(tmp_path / name)).collect())
+        assert found == ([("a", 0, True), ("a", 1, False)] if name in ("points", "arrays") else [("a", 0, 0)])
+    spark.createDataFrame([("a", 1)], "stream string, other int").write.parquet(str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        files.read_labels(spark, str(tmp_path / "none"))

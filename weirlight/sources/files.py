@@ -36,21 +36,27 @@ def sniff(line: str) -> tuple[str, bool]:
     return best, not looks_numeric([f.strip() for f in re.split(best, line.strip()) if f.strip()])
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited text; columns without a header are named 0, 1, ...; columns without any value are dropped."""
-    first = spark.read.text(path).where(F.trim("value") != "").select("value").first()
+def read_text(spark: SparkSession, path: str | list[str], stem: str | None = None) -> DataFrame:
+    """Delimited text; columns without a header are named 0, 1, ...; columns without any value are dropped.
+
+    Several files are of one form, that of the first; ``stem`` names a column for each row's file name without suffix.
+    """
+    named = lambda df: df if stem is None else df.select("*", stem_column().alias(stem))
+    paths = [path] if isinstance(path, str) else path
+    first = spark.read.text(paths[0]).where(F.trim("value") != "").select("value").first()
     if first is None:
-        raise ValueError(f"{path} is empty")
+        raise ValueError(f"{paths[0]} is empty")
     delimiter, header = sniff(first["value"])
     if delimiter != r"\s+":
-        df = spark.read.csv(path, sep=delimiter, header=header, inferSchema=True)
-        df = df if header else df.toDF(*map(str, range(len(df.columns))))
+        raw = spark.read.csv(paths, sep=delimiter, header=header, inferSchema=True)
+        own = raw.columns if header else [str(i) for i in range(len(raw.columns))]
+        df = named(raw).toDF(*own, *([] if stem is None else [stem]))
     else:
         names = re.split(r"\s+", first["value"].strip())
-        rows = spark.read.text(path).where(F.trim("value") != "")
+        rows = named(spark.read.text(paths)).where(F.trim("value") != "")
         rows = rows.where(F.col("value") != first["value"]) if header else rows
         parts = F.split(F.trim("value"), r"\s+")
-        df = rows.select(parts.alias("p")).select(*[F.get("p", F.lit(i)).try_cast("double").alias(n if header else str(i)) for i, n in enumerate(names)])
+        df = rows.select(parts.alias("p"), *([] if stem is None else [stem])).select(*[F.get("p", F.lit(i)).try_cast("double").alias(n if header else str(i)) for i, n in enumerate(names)], *([] if stem is None else [stem]))
     filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
     return df.select(*[f"`{c}`" for c in df.columns if filled[c]])
 
@@ -79,17 +85,39 @@ def expand(spark: SparkSession, patterns: list[str]) -> list[str]:
 
 
 def stem_column():
-    return F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[^.]*$", "")
+    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
 
 
-def read_stream_files(spark: SparkSession, paths: list[str], stream_column: str | None = None) -> DataFrame:
-    """Files of one schema as one table with ``stream``: the file's name, with ``__<key>`` for each stream within it."""
-    parts = None
+def read_stream_files(spark: SparkSession, paths: list[str], stream_column: str | None = None, equal_lengths: bool = False) -> DataFrame:
+    """Files of one schema as one table with ``stream``: the file's name, with ``__<key>`` for each stream within it.
+
+    Files of a suffix are one scan; a folder is a table by itself. With ``equal_lengths`` streams of
+    different numbers of rows are an error.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    scans: dict[str, list[str]] = {}
     for path in paths:
-        df = read(spark, path).withColumn("__stem", F.lit(PurePosixPath(urlparse(path).path).stem))
+        place = hadoop.Path(path)
+        folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+        scans.setdefault(path if folder else suffix_of(path), []).append(path)
+    parts = None
+    for kind, own in scans.items():
+        if own == [kind]:
+            df = read(spark, kind).withColumn("__stem", F.lit(PurePosixPath(urlparse(kind).path).stem))
+        elif kind in (".parquet", ".pq"):
+            df = spark.read.parquet(*own).select("*", stem_column().alias("__stem"))
+        elif kind in TEXT:
+            df = read_text(spark, own, "__stem")
+        else:
+            raise ValueError(f"no reader for {kind!r}")
         parts = df if parts is None else parts.unionByName(df)
     name = F.col("__stem") if stream_column is None else F.concat_ws("__", "__stem", F.col(stream_column).cast("string"))
-    return parts.withColumn("stream", name).drop("__stem")
+    out = parts.withColumn("stream", name).drop("__stem")
+    if equal_lengths:
+        counts = out.groupBy("stream").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
+        if counts["least"] != counts["most"]:
+            raise ValueError(f"streams have from {counts['least']} to {counts['most']} rows")
+    return out
 
 
 def is_canonical(df: DataFrame) -> bool:
