@@ -173,6 +173,28 @@ def _fold_udf():
     return folded
 
 
+def _words_udf():
+    @F.pandas_udf(T.StringType())
+    def different(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join(sorted(set(t.split()))))
+
+    return different
+
+
+def _sums_udf(lexicons: list):
+    """Of folded texts and the number of the lexicon for each, the sum of weights and the words; 0 and 0 where there is no lexicon."""
+    kept: list = []
+
+    @F.pandas_udf("total double, words int")
+    def sums(texts: pd.Series, which: pd.Series) -> pd.DataFrame:
+        if not kept:
+            kept.extend(None if x is None else x.matcher() for x in lexicons)
+        found = [raw_sums(t, kept[w]) if lexicons[w] is not None else (0.0, 0, 0) for t, w in zip(texts, which, strict=True)]
+        return pd.DataFrame({"total": [f[0] for f in found], "words": [f[2] for f in found]})
+
+    return sums
+
+
 def _surprise(a: int, n: int, b: int, m: int) -> float:
     """Twice the log-likelihood ratio of a of n against b of m, 0 if a's rate is the lower."""
     if a * m <= b * n:
@@ -270,28 +292,29 @@ def fit(
     An entry is the shortest beginning of words, or else a whole word, that occurs in min_docs
     different toxic texts or more, whose rate among toxic texts is ``precision`` or more of the sum of
     its rates, and for which twice the log-likelihood ratio of the two rates is ``surprise`` or more.
-    The curve is fitted on sums by lexicons that were learned without the text that is scored.
+    The curve is fitted on sums by lexicons that were learned without the text that is scored. What
+    comes to the driver of a text are its different folded words, and later a sum and a count.
     """
     small_batches(docs.sparkSession)
     drawn = sample(docs, labels, "toxic", {1: most_toxic, 0: most_clean}, k, left_out)
-    rows = drawn.select("doc_id", "label", _fold_udf()("text").alias("folded")).groupBy("folded").agg(F.max("label").alias("label")).collect()
-    rows.sort(key=lambda r: r["folded"])
-    texts, y = [r["folded"] for r in rows], np.array([float(r["label"] == 1) for r in rows])
+    folded = drawn.select("label", _fold_udf()("text").alias("folded")).groupBy("folded").agg(F.max("label").alias("label"))
+    folded = folded.withColumn("third", F.pmod(F.xxhash64("folded"), F.lit(3)).cast("int")).persist()
+    rows = sorted(tuple(r) for r in folded.select(_words_udf()("folded"), (F.col("label") == 1).cast("int"), "third").collect())
+    texts, y, third = [r[0] for r in rows], np.array([float(r[1]) for r in rows]), np.array([r[2] for r in rows])
     if not y.any() or y.all():
+        folded.unpersist()
         return Lexicon()
     seen = Evidence(texts, y, min_docs, shortest, longest)
     of = lambda on: seen.learn(on, precision, surprise, exceptions)
     lexicon = of(np.ones(len(texts), bool))
-    x = np.zeros((len(texts), 2))
-    third = np.arange(len(texts)) % 3
+    parts = []
     for part in range(3):
         rest = third != part
-        if not y[rest].any() or y[rest].all():
-            continue
-        automaton = of(rest).matcher()
-        at = np.flatnonzero(~rest)
-        sums = [raw_sums(texts[i], automaton) for i in at]
-        x[at] = features(np.array([s[0] for s in sums]), np.array([s[2] for s in sums]))
+        parts.append(of(rest) if y[rest].any() and not y[rest].all() else None)
+    found = sorted(tuple(r) for r in folded.select((F.col("label") == 1).cast("int"), _sums_udf(parts)("folded", "third").alias("s")).select("*", "s.total", "s.words").drop("s").collect())
+    folded.unpersist()
+    y = np.array([float(r[0]) for r in found])
+    x = features(np.array([r[1] for r in found]), np.array([r[2] for r in found]))
     (a, b), c = sigmoid_fit(x, y)
     # Put 0.5 at the lowest cut that is as good as the best one, a quarter into the gap above it.
     z = a * x[:, 0] + b * x[:, 1] + c
