@@ -12,7 +12,8 @@ copies of the block, so one hot host is spread over many tasks. Rules are never
 
 Cases: a null url, or one without ``://``, has an empty host and path and no rule. Empty rule tables
 leave every url to the default verdict. Rules that repeat count once; for rules that differ only in
-their verdict, block wins. Equal urls have equal verdicts. Only the named columns are read.
+their verdict, block wins. Equal urls have equal verdicts. Only the named columns are read. The
+driver gets the distinct lengths of the rules' keys and a drawn key for about every 250 rules.
 """
 
 from __future__ import annotations
@@ -46,14 +47,13 @@ def judge_urls(
     url_col: str = "url",
     default: str = "allow",
     rules_per_block: int = 50_000,
-    rows_per_copy: int = 100_000,
+    rows_per_copy: int = 20_000,
 ) -> DataFrame:
     """(id, host, path, rule, verdict) for each row of pages; rules has host, path and verdict.
 
     The longest rule (host and path together) that fits wins; of equally long ones, that with the
     longer host. ``default`` is the verdict where no rule fits.
     """
-    spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
 
@@ -100,13 +100,13 @@ def judge_urls(
     urls = parsed.where(F.col("host") != "").select("host", "path").distinct()
     probes = urls.select("host", "path", F.explode(keys).alias("key")).withColumn("block", block(F.col("key")))
 
-    # As many copies of a block as its urls need.
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many copies of a block as its urls need; a copy has as many urls as rules, or more, so rules aren't most of the rows.
     if cuts:
         sizes = {r["block"]: r["n"] for r in probes.groupBy("block").agg(F.count("*").alias("n")).collect()}
     else:
-        sizes = {0: width * rows_per_copy}
-    copies = [max(1, math.ceil(sizes.get(b, 0) / rows_per_copy)) for b in range(len(cuts) + 1)]
+        sizes = {0: pages.count() * len(labels)}
+    per_copy = max(rows_per_copy, math.ceil(n_rules / (len(cuts) + 1)))
+    copies = [max(1, math.ceil(sizes.get(b, 0) / per_copy)) for b in range(len(cuts) + 1)]
     n_copies = F.element_at(F.lit(copies), F.col("block") + 1)
     probes = probes.withColumn("copy", F.pmod(F.xxhash64("host", "path"), n_copies).cast("int"))
     opened = starts.select("block", F.explode(F.sequence(F.lit(0), n_copies - 1)).alias("copy"), F.col("inner").alias("key"), "stack")
