@@ -9,9 +9,10 @@ give each bucket its offset, and a running sum within the bucket each document's
 is then so many whole epochs of it, and in the last epoch the documents whose running sum is within
 the rest; the document at the cut is taken in part, so the taken words meet the target exactly.
 
-Cases: null and empty texts have size 0 and take nothing. Null doc_ids have a key of their own. Rows
-that repeat are documents of their own; which of two equal rows comes first has no effect. Sources of
-size 0 have target 0. An empty table gives no rows. Only the named columns are read.
+Cases: null and empty texts have size 0 and take nothing. Null doc_ids have a key of their own, in which
+they are in the order of size; they are dealt by size and a hash of the text. Rows that repeat are documents of their own; which of two equal rows comes first has no effect. Sources of
+size 0 have target 0. An empty table gives no rows. Only the named columns are read. Targets are made
+from one row of numbers for each source, in one task.
 """
 
 from __future__ import annotations
@@ -79,25 +80,28 @@ def mix_documents(
         F.coalesce(source_col, F.lit("")).alias("src"),
         text_size(F.col(text_col)).alias("size"),
         key.alias("key"),
+        F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(text_col), F.lit(8))).otherwise(F.lit(0)).alias("salt"),
         *([F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []),
     )
     sized = materialise(sized, "mix-sizes")
     targets = materialise(source_targets(sized, weights, share, cap), "mix-targets")
 
     # Keys are uniform: the first 32 bits times the number of buckets is an even deal.
-    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    share_of_range = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     # About as many buckets as rows in each, so neither the sort nor the sums over buckets grow large.
-    bucket = F.floor(place * F.ceil(F.col("n") / F.greatest(F.lit(float(rows_per_bucket)), F.sqrt("n")))).cast("long")
+    bucket = F.floor(share_of_range * F.ceil(F.col("n") / F.greatest(F.lit(float(rows_per_bucket)), F.sqrt("n")))).cast("long")
     source = ["no_source", "src"]
-    dealt = sized.join(targets, source).withColumn("bucket", bucket)
-    totals = dealt.groupBy(*source, "bucket").agg(F.sum("size").alias("in_bucket"))
-    earlier = Window.partitionBy(*source).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*source, "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("offset"))
-    within = Window.partitionBy(*source, "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # Null ids share one key; rows equal in key, id and size are in any order.
+    place = ["bucket", "part", "salt"]
+    dealt = sized.join(targets, source).withColumn("bucket", bucket).withColumn("part", F.when(F.col("id").isNull(), F.col("size")).otherwise(F.lit(0)))
+    totals = dealt.groupBy(*source, *place).agg(F.sum("size").alias("in_bucket"))
+    earlier = Window.partitionBy(*source).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*source, *place, F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("offset"))
+    within = Window.partitionBy(*source, *place).orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")
     return (
-        dealt.join(offsets, [*source, "bucket"])
+        dealt.join(offsets, [*source, *place])
         .withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
         .withColumn("epochs", epochs)
         .withColumn("left", budget - F.col("epochs") * F.col("source_size") - F.col("before"))
