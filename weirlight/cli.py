@@ -62,6 +62,8 @@ def main(argv: list[str] | None = None) -> int:
         scored = "point_scores" in found
         if scored:
             points = points.join(found["point_scores"], ["stream", "pos"], "left").fillna(0.0, ["point_score"])
+        # The metrics go over the points many times.
+        points = points.persist()
         print(json.dumps(assess(points, truth, "point_score" if scored or "point_score" in points.columns else None), indent=2, default=float))
     return 0
 
