@@ -395,6 +395,36 @@ def test_blocks_of_neighbours_are_merged(spark, monkeypatch):
     assert knn.nearest_blocked(queries.limit(0), refs, 2).count() == knn.nearest_blocked(queries, refs.limit(0), 2).count() == 0
 
 
+def test_neighbours_by_regions(spark, monkeypatch):
+    """As by brute force, with copies, queries out of reach, other folds and bands; pairs do not decide how often a row is sent."""
+    rng = np.random.default_rng(21)
+    z = np.r_[rng.normal(size=(500, 2)) @ rng.normal(size=(2, 4)), np.tile(rng.normal(size=4), (100, 1))].round(3)
+    z[:5] += 50
+    depth, fold = np.r_[rng.integers(0, 4, 599), 9], rng.integers(0, 3, 600)
+    data = [(f"r{i:03d}", [float(v) for v in z[i]], int(depth[i]), int(fold[i])) for i in range(600)]
+    refs = spark.createDataFrame([*data, ("none", data[0][1], None, 0)], "ref string, z array<double>, depth int, fold int").cache()
+    queries = refs.withColumnRenamed("ref", "query")
+    monkeypatch.setattr(knn, "TASK_PAIRS", 1)
+    distance = ((z[:, None] - z[None]) ** 2).sum(-1)
+    near = lambda band: abs(depth[:, None] - depth[None]) <= band
+    apart = fold[:, None] != fold[None]
+    for values, sample in ((300, 120), (120, 10**6)):
+        monkeypatch.setattr(knn, "REGION_VALUES", values)
+        monkeypatch.setattr(knn, "SAMPLE_VALUES", sample)
+        for options, allowed in (({"group": "depth", "fold": "fold", "band": 1}, near(1) & apart), ({"group": "depth"}, near(0)), ({"fold": "fold"}, apart)):
+            asked = queries.where("depth is not null") if "group" not in options else queries
+            given = refs.where("depth is not null") if "group" not in options else refs
+            found = {}
+            result = knn._in_regions(asked, given, 3, options.get("group"), options.get("fold"), options.get("band", 0))
+            for r in result.collect():
+                found.setdefault(r["query"], []).append((r["rank"], r["ref"], round(r["distance"], 9)))
+            for i in range(600):
+                order = sorted((round(distance[i, j], 9), data[j][0]) for j in np.flatnonzero(allowed[i]))[:3]
+                assert sorted(found.pop(data[i][0], [])) == [(n + 1, name, d) for n, (d, name) in enumerate(order)]
+            assert not found
+    assert knn.nearest_blocked(queries.limit(0), refs, 2, band=1, group="depth").count() == knn.nearest_blocked(queries, refs.limit(0), 2, band=1, group="depth").count() == 0
+
+
 def test_indexes_by_group_agree_with_exact_search(spark):
     rng = np.random.default_rng(15)
     data = [(i, [float(v) for v in rng.normal(size=6)], i % 2) for i in range(800)]
