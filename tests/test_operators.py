@@ -425,6 +425,33 @@ def test_neighbours_by_regions(spark, monkeypatch):
     assert knn.nearest_blocked(queries.limit(0), refs, 2, band=1, group="depth").count() == knn.nearest_blocked(queries, refs.limit(0), 2, band=1, group="depth").count() == 0
 
 
+def test_hashed_search_sends_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    refs = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=6)]) for i in range(500)], "ref long, z array<double>").cache()
+    queries = refs.withColumnRenamed("ref", "query").where("query % 25 = 0")
+    exact = {(r["query"], r["ref"]) for r in knn.nearest_joined(queries, refs, 3).collect()}
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 1000)
+    found = knn.nearest_hashed(queries, refs, 3)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert len({(r["query"], r["ref"]) for r in found.collect()} & exact) >= 0.9 * len(exact) == 54
+
+
+def test_normal_streams_come_as_columns(spark, monkeypatch):
+    """They are not collected as Python's rows, and blocks are in order of stream and position."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from weirlight.operators import interval_model
+
+    rows_ = [(f"s{i}", p, float(i), float(p)) for i in range(12) for p in range(5)]
+    df = spark.createDataFrame(rows_[::-1], "stream string, pos int, a double, b double")
+    monkeypatch.setattr(Classic, "toPandas", lambda self: pytest.fail("collected as rows"))
+    for most in (1 << 20, 5 * 2 * 8 * 4):
+        monkeypatch.setattr(interval_model, "BLOCK_BYTES", most)
+        blocks = [b.value for b in interval_model.normal_blocks(df, ["a", "b"])]
+        assert (len(blocks) == 1) == (most > 1000) and sorted(b[0, 0] for x in blocks for b in x) == [float(i) for i in range(12)]
+        assert all((x[:, :, 1] == np.arange(5)).all() and (x[:, :, 0] == x[:, :1, 0]).all() for x in blocks)
+
+
 def test_indexes_by_group_agree_with_exact_search(spark):
     rng = np.random.default_rng(15)
     data = [(i, [float(v) for v in rng.normal(size=6)], i % 2) for i in range(800)]
