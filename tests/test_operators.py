@@ -4,6 +4,7 @@ from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -486,3 +487,36 @@ def test_forest_band_takes_in_near_depths(spark):
     df = spark.createDataFrame(data, "query long, depth int, z array<double>")
     drawn = lambda band: {r["depth"]: r["m"] for r in forest.fit(df, 3, 1000, 0, band).groupBy("depth").agg(F.max("drawn").alias("m")).collect()}
     assert drawn(0) == {d: 100 for d in range(4)} and drawn(1) == {0: 200, 1: 300, 2: 300, 3: 200}
+
+
+def test_copies_are_compared_once(spark):
+    """Of copies those references stay that a query of some fold can have among its nearest; equal queries are one."""
+    rng = np.random.default_rng(23)
+    z = np.repeat(rng.normal(size=(40, 3)), 30, 0)
+    n, k = len(z), 3
+    fold, g = rng.integers(0, 4, n), np.zeros(n, np.int64)
+    rule = knn._Rule(np.zeros(1, np.int64), np.arange(4), 0)
+    left = pa.table({"ref": [f"r{i:05d}" for i in range(n)], "z": pa.array(list(z), pa.list_(pa.float64())), "g": g, "f": fold})
+    block, names = knn._references(left, rule, k)
+    assert len(names) < n / 2
+    row, place, _ = block.nearest(z, g, fold, k, np.full(n, np.inf))
+    distance = ((z[:, None] - z[None]) ** 2).sum(-1)
+    distance[fold[:, None] == fold[None]] = np.inf
+    right = np.argsort(distance, 1, kind="stable")[:, :k]
+    for i in range(n):
+        assert [names[int(p)].as_py() for p in place[row == i]] == [f"r{j:05d}" for j in right[i]]
+    order, starts = knn._alike(z, g, fold)
+    assert sorted(order) == list(range(n)) and len(starts) == len({(i // 30, f) for i, f in enumerate(fold)})
+
+
+def test_distances_for_thresholds_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    found = calibrate.thresholds(spark.range(200).selectExpr("cast(id % 2 as int) depth", "cast(id as double) distance").mapInPandas(rows, "depth int, distance double"))
+    assert sorted((r["depth"], r["n_calibration"], r["n_above_threshold"]) for r in found.collect()) == [(0, 100, 5), (1, 100, 5)]
+    assert made.value == 200
