@@ -520,3 +520,18 @@ def test_distances_for_thresholds_are_made_once(spark):
     found = calibrate.thresholds(spark.range(200).selectExpr("cast(id % 2 as int) depth", "cast(id as double) distance").mapInPandas(rows, "depth int, distance double"))
     assert sorted((r["depth"], r["n_calibration"], r["n_above_threshold"]) for r in found.collect()) == [(0, 100, 5), (1, 100, 5)]
     assert made.value == 200
+
+
+@pytest.mark.parametrize("width", [3, 40, 2000, 20_000])
+def test_smallest_sorts_only_what_it_returns(width, monkeypatch):
+    """As by a whole stable sort, with ties, infinite values and NaN; whole rows are sorted only where the k-th value is a tie."""
+    rng = np.random.default_rng(24)
+    d = rng.normal(size=(30, width))
+    d[10:20], d[20, :], d[21, 1:], d[22, 0] = d[10:20].round(1), 5.0, np.inf, np.nan
+    assert (knn.smallest(d[:22], 4)[0] == np.argsort(d[:22], 1, kind="stable")[:, :4]).all()
+    if width <= 2000:
+        assert (knn.smallest(d, 4)[0] == np.argsort(d, 1, kind="stable")[:, :4]).all()
+    widest, sort = [], np.argsort
+    monkeypatch.setattr(knn.np, "argsort", lambda a, *more, **how: widest.append(a.shape[1] if len(a) else 0) or sort(a, *more, **how))
+    knn.smallest(rng.normal(size=(30, width)), 4)
+    assert width in (3, 20_000) or max(widest) == 4
