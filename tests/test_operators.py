@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weirlight import config
-from weirlight.operators import bagging, calibrate, evaluate, forest, knn, metric, reduce, report, scoring, search, signature, streams, transforms, windows
+from weirlight.operators import bagging, calibrate, copies, evaluate, forest, knn, metric, normalise, reduce, report, scoring, search, signature, streams, transforms, windows
 
 
 def rows(df, *columns):
@@ -535,3 +535,73 @@ def test_smallest_sorts_only_what_it_returns(width, monkeypatch):
     monkeypatch.setattr(knn.np, "argsort", lambda a, *more, **how: widest.append(a.shape[1] if len(a) else 0) or sort(a, *more, **how))
     knn.smallest(rng.normal(size=(30, width)), 4)
     assert width in (3, 20_000) or max(widest) == 4
+
+
+def test_streams_of_equal_points_are_one_kind(spark):
+    """Nulls at different places are different; every stream is a member of the kind of its first."""
+    rng = np.random.default_rng(25)
+    paths = [[(float(i), *map(float, rng.normal(size=2))) for i in range(5)] for _ in range(3)]
+    paths += [[(0.0, None, 1.0), (1.0, 1.0, 1.0)], [(0.0, 1.0, None), (1.0, 1.0, 1.0)], paths[0][:4]]
+    data = [(f"s{10 * c + p}", i, *x) for p, path in enumerate(paths) for c in range(1, 4) for i, x in enumerate(path)]
+    df = spark.createDataFrame(data, "stream string, pos int, t double, x1 double, x2 double")
+    points, members = copies.kinds(df, ["x1", "x2"])
+    assert {(r["stream"], r["kind"]) for r in members.collect()} == {(f"s{10 * c + p}", f"s{10 + p}") for c in range(1, 4) for p in range(6)}
+    assert sorted((r["stream"], r["pos"]) for r in points.collect()) == sorted((s, i) for s, i, *_ in data if int(s[1:]) < 20)
+
+
+def test_kinds_have_the_distances_and_thresholds_of_all_copies(spark):
+    rng = np.random.default_rng(26)
+    z = rng.normal(size=(60, 3))
+    count = rng.integers(1, 8, 60)
+    names = [(f"w{10 * i + c}_1", f"w{10 * i}_1", int(rng.integers(0, 3))) for i in range(60) for c in range(count[i])]
+    members = spark.createDataFrame(names, "stream string, kind string, fold int")
+    rows = spark.createDataFrame([(f"w{10 * i}_1", 0, 4, i % 2, [float(v) for v in z[i]]) for i in range(60)], "kind string, lo int, hi int, depth int, z array<double>")
+    found = calibrate.kind_distances(rows.join(copies.dealt(members, 3), "kind").persist(), 3, 0).persist()
+    all_rows = rows.join(members, "kind").select(copies.name_of("stream").alias("query"), "depth", "fold", "z").persist()
+    want = calibrate.fold_distances(all_rows, 3, 0).persist()
+    ours = {r["query"]: r["distance"] for r in found.join(members, ["kind", "fold"]).select(copies.name_of("stream").alias("query"), "distance").collect()}
+    theirs = {r["query"]: r["distance"] for r in want.collect()}
+    assert ours.keys() == theirs.keys() and all(abs(ours[q] - theirs[q]) < 1e-9 for q in ours)
+    assert found.count() < want.count() and 0 < sum(d == 0 for d in ours.values()) < len(ours)
+    a, b = (calibrate.thresholds(*x).orderBy("depth").toPandas() for x in ((found, "p90", "n"), (want, "p90")))
+    assert np.allclose(a, b)
+    refs = {(r["ref"], r["fold"]) for r in copies.references(rows.join(copies.dealt(members, 3), "kind"), "z", k=3).collect()}
+    firsts = {}
+    for s, k, f in sorted(names, key=lambda x: x[0] + ":"):
+        firsts.setdefault(k, []).append((f"{s}:0:4", f))
+    assert refs == {x for some in firsts.values() for x in some[:3]}
+
+
+def test_statistics_count_copies(spark):
+    rng = np.random.default_rng(27)
+    x, n = rng.normal(size=(200, 4)) * [1, 5, 0.1, 2] + 3, rng.integers(1, 9, 200)
+    df = spark.createDataFrame([([float(v) for v in row], int(c)) for row, c in zip(x, n, strict=True)], "sig array<double>, copies int")
+    whole = np.repeat(x, n, 0)
+    spec = metric.spectrum(df, copies="copies")
+    assert spec.n == len(whole) and np.allclose(spec.mean, whole.mean(0)) and np.allclose(spec.values, np.linalg.svd(whole - whole.mean(0), compute_uv=False))
+    for method, scale in (("zscore", whole.std(0)), ("maxabs", abs(whole).max(0))):
+        found = normalise.fit(df, method, copies="copies").first()
+        assert np.allclose(found["scale"], scale) and np.allclose(found["centre"], whole.mean(0) if method == "zscore" else 0)
+
+
+def test_trees_draw_each_copy_alike():
+    """Without a row, or a hash, for each tree: a table of n rows costs about as many draws as it has drawn rows."""
+    h = np.random.default_rng(28).integers(-(2**63), 2**63 - 1, 20_000)
+    row, cell = forest.drawn_cells(h, np.full(len(h), 200), np.full(len(h), 0.003))
+    assert abs(len(row) - 12_000) < 600 and len(set(zip(row.tolist(), cell.tolist(), strict=True))) == len(row)
+    assert abs(np.bincount(cell, minlength=200) - 60).max() < 40 and cell.max() < 200
+    row, cell = forest.drawn_cells(h[:5], np.full(5, 7), np.full(5, 2.0))
+    assert sorted(zip(row.tolist(), cell.tolist(), strict=True)) == [(r, c) for r in range(5) for c in range(7)]
+
+
+def test_all_cells_are_all_neighbours_in_a_band(spark, monkeypatch):
+    """A query that looks at all cells finds what an exact search does, with units of cells that are dealt to several tasks."""
+    rng = np.random.default_rng(29)
+    z, depth = rng.normal(size=(400, 3)), rng.integers(0, 4, 400)
+    refs = spark.createDataFrame([(f"r{i}", int(g), [float(v) for v in x]) for i, (x, g) in enumerate(zip(np.repeat(z, 2, 0), np.repeat(depth, 2), strict=True))], "ref string, depth int, z array<double>")
+    queries = spark.createDataFrame([(f"q{i}", int(depth[i]), [float(v) + 0.1 for v in z[i]]) for i in range(90)], "query string, depth int, z array<double>")
+    monkeypatch.setattr(knn, "REGION_VALUES", 150)
+    monkeypatch.setattr(knn, "FITTED", 300)
+    found = {(r["query"], r["ref"], r["rank"]) for r in knn.nearest_in_cells(queries, refs, 3, 10_000, group="depth", band=1).collect()}
+    want = {(r["query"], r["ref"], r["rank"]) for r in knn.nearest_joined(queries, knn.banded(refs, 1).drop("depth").withColumnRenamed("probe", "depth"), 3, "depth").collect()}
+    assert found == want and len(want) == 270
