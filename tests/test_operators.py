@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weirlight import config
 from weirlight.operators import bagging, calibrate, copies, evaluate, forest, knn, metric, normalise, reduce, report, scoring, search, signature, streams, transforms, windows
+from weirlight.plans import detect as detection
 
 
 def rows(df, *columns):
@@ -605,3 +606,48 @@ def test_all_cells_are_all_neighbours_in_a_band(spark, monkeypatch):
     found = {(r["query"], r["ref"], r["rank"]) for r in knn.nearest_in_cells(queries, refs, 3, 10_000, group="depth", band=1).collect()}
     want = {(r["query"], r["ref"], r["rank"]) for r in knn.nearest_joined(queries, knn.banded(refs, 1).drop("depth").withColumnRenamed("probe", "depth"), 3, "depth").collect()}
     assert found == want and len(want) == 270
+
+
+def test_kth_distances_take_turns(spark, monkeypatch):
+    """The distances of all pairs, by regions, with several turns, blocks and equal rows; a query with too few neighbours has no row."""
+    rng = np.random.default_rng(30)
+    z, depth, fold = np.repeat(rng.normal(size=(200, 3)), 3, 0), rng.integers(0, 5, 600), rng.integers(0, 3, 600)
+    depth[:2] = 40
+    data = [(i, f"r{i}", int(g), int(f), [float(v) for v in x]) for i, (x, g, f) in enumerate(zip(z, depth, fold, strict=True))]
+    df = spark.createDataFrame(data, "query long, ref string, depth int, fold int, z array<double>").cache()
+    refs, queries = df.drop("query"), df.drop("ref")
+    distance = ((z[:, None] - z[None]) ** 2).sum(-1)
+    near = lambda band: abs(depth[:, None] - depth[None]) <= band
+    apart = fold[:, None] != fold[None]
+    turns = []
+    monkeypatch.setattr(copies, "kept", lambda x, kept=copies.kept: turns.append(1) or kept(x))
+    monkeypatch.setattr(knn, "PACK_BYTES", 200)
+    for values, sample in ((300, 120), (120, 10**6)):
+        monkeypatch.setattr(knn, "REGION_VALUES", values)
+        monkeypatch.setattr(knn, "SAMPLE_VALUES", sample)
+        for options, allowed in (({"group": "depth", "fold": "fold", "band": 1}, near(1) & apart), ({"group": "depth"}, near(0)), ({"fold": "fold"}, apart)):
+            turns.clear()
+            found = {r["query"]: r["distance"] for r in knn.kth_distances(queries, refs, 3, **options).collect()}
+            want = {i: np.sort(distance[i, allowed[i]])[2] for i in range(600) if allowed[i].sum() > 2}
+            assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-9 for i in want)
+            assert len(want) == (600 if options == {"fold": "fold"} else 598) and len(turns) > 1
+    monkeypatch.undo()
+    found = {r["query"]: r["distance"] for r in knn.kth_distances(queries, refs, 3, "depth").collect()}
+    assert found.keys() == set(range(2, 600)) and all(abs(found[i] - np.sort(distance[i, near(0)[i]])[2]) < 1e-9 for i in found)
+
+
+def test_screening_reads_streams_once(spark, walk):
+    """A join with the report would deal all points out once more."""
+    clean = streams.screen(walk, ["x1", "x2"])[0]
+    assert "Join" not in clean._jdf.queryExecution().executedPlan().toString()
+
+
+def test_point_scores_are_made_when_asked_for(spark, walk, monkeypatch):
+    """They are a search of their own, of which a query of windows has nothing."""
+    made = []
+    monkeypatch.setattr(detection, "fit", lambda *_: detection.Detector(walk, None, {0: 1.0}, walk, None, None, {}))
+    monkeypatch.setattr(detection, "_flags", lambda *_: (walk, walk))
+    monkeypatch.setattr(detection, "point_scores", lambda *_: made.append(1) or walk)
+    found = detection.detect(walk, walk, ["x1", "x2"])
+    assert not made and "point_scores" in found
+    assert found["point_scores"] is found["point_scores"] is walk and made == [1]
