@@ -651,3 +651,14 @@ def test_point_scores_are_made_when_asked_for(spark, walk, monkeypatch):
     found = detection.detect(walk, walk, ["x1", "x2"])
     assert not made and "point_scores" in found
     assert found["point_scores"] is found["point_scores"] is walk and made == [1]
+
+
+def test_kept_tables_leave_no_garbage_in_the_driver(spark):
+    jvm = spark.sparkContext._jvm
+    row = jvm.java.lang.Object()
+    still = jvm.java.lang.ref.WeakReference(row)
+    jvm.System.gc()  # it is old from here on, and goes when the whole heap is collected
+    spark.sparkContext._gateway.detach(row)
+    del row
+    assert copies.kept(spark.range(3)).count() == 3
+    assert still.get() is None
