@@ -662,3 +662,23 @@ def test_kept_tables_leave_no_garbage_in_the_driver(spark):
     del row
     assert copies.kept(spark.range(3)).count() == 3
     assert still.get() is None
+
+
+def test_per_interval_model_signs_equal_streams_once_and_counts_them_all(spark):
+    from weirlight.operators import interval_model
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(30, 17, 3)).cumsum(1)
+    times = rng.integers(1, 4, 30)
+    whole = interval_model.IntervalModel(interval_model.Normal([lambda: np.repeat(x, times, 0)], 2), 2, 9, 0.999, "p90", 0.5, 0)
+    parts = [slice(0, 13), slice(13, 30)]
+    few = interval_model.IntervalModel(interval_model.Normal([lambda p=p: x[p] for p in parts], 2, [times[p] for p in parts]), 2, 9, 0.999, "p90", 0.5, 0)
+    assert sum(map(len, few.kept)) == 30 and few.threshold == pytest.approx(whole.threshold, abs=1e-9)
+    sig = signature.sign(rng.normal(size=(1, 8, 3)), 2)[0]
+    assert few.score(sig) == pytest.approx(whole.score(sig))
+    data = [(f"{c}{s:02d}", p, float(p), float(x[s, p, 1]) + (20 if s > 27 and p > 8 else 0)) for c in "ab" for s in range(30) for p in range(17)]
+    df = spark.createDataFrame(data, "stream string, pos int, t double, x1 double")
+    side = F.substring("stream", 2, 2) >= "26"
+    found = interval_model.detect(df.where(~side), df.where(side), ["x1"], statistic="p90", withheld=1.0)
+    a, b = (rows(found.where(F.col("stream").startswith(c)), F.substring("stream", 2, 2), "start_index", "end_index", "score", "threshold") for c in "ab")
+    assert a == b and len(a) > 0
